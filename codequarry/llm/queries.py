@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codequarry.llm import syntax
+from codequarry.llm import secrets, syntax
 from codequarry.llm.common import table
 
 
@@ -20,6 +20,22 @@ def p1_rates(spark, d):
     return syntax.broken_rates(p1_checked(spark, d))
 
 
+def _secrets(spark, d, with_text):
+    chunks = secrets.find_secrets(table(spark, d, "chunks"), ["chunk_id"], "text", "ingested_at", with_text)
+    cards = secrets.find_secrets(table(spark, d, "source_chunks"), ["card_id"], "code", "asked_at", with_text)
+    return chunks.select(F.lit("chunks").alias("table_name"), F.col("chunk_id").alias("record_id"), "lines", "redacted").unionByName(
+        cards.select(F.lit("source_chunks").alias("table_name"), F.col("card_id").cast("string").alias("record_id"), "lines", "redacted")
+    )
+
+
+def p6_found(spark, d):
+    return _secrets(spark, d, False).select("table_name", "record_id", F.explode("lines").alias("line_no")).distinct()
+
+
+def p6_redacted(spark, d):
+    return _secrets(spark, d, True)
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
