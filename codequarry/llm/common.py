@@ -23,13 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def newest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """One row for each key: the newest ``by`` (null is oldest), ties going to the least value of the
-    other columns, so that the result doesn't depend on the order of rows.  Rows with a null key
+def newest(df: DataFrame, keys: list[str], by: str, tie: list[str] | None = None) -> DataFrame:
+    """One row for each key: the newest ``by`` (null is oldest), ties going to the least hash of the
+    other columns (or of ``tie``), so that the result doesn't depend on the order of rows.  Rows with a null key
     form a key of their own."""
-    others = [F.col(c) for c in df.columns if c not in {*keys, by}]
-    tie = F.xxhash64(*[c.cast("string") for c in others]) if others else F.lit(0)
-    rank = Window.partitionBy(*keys).orderBy(F.col(by).desc_nulls_last(), tie)
+    others = tie or [c for c in df.columns if c not in {*keys, by}]
+    rank = Window.partitionBy(*keys).orderBy(F.col(by).desc_nulls_last(), F.xxhash64(*others) if others else F.lit(0))
     return df.withColumn("_newest", F.row_number().over(rank)).where("_newest = 1").drop("_newest")
 
 

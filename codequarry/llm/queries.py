@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codequarry.llm import secrets, syntax
+from codequarry.llm import docpairs, secrets, splitting, syntax
 from codequarry.llm.common import table
 
 
@@ -20,6 +20,22 @@ def p1_rates(spark, d):
     return syntax.broken_rates(p1_checked(spark, d))
 
 
+def p4_pieces(spark, d):
+    return splitting.split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_settings"))
+
+
+def p4_found(spark, d):
+    return p4_pieces(spark, d).select("chunk_id").distinct()
+
+
+def p5_pairs(spark, d):
+    return docpairs.doc_pairs(table(spark, d, "chunks"))
+
+
+def p5_found(spark, d):
+    return docpairs.doc_pairs(table(spark, d, "chunks"), with_code=False).select("chunk_id").distinct()
+
+
 def _secrets(spark, d, with_text):
     chunks = secrets.find_secrets(table(spark, d, "chunks"), ["chunk_id"], "text", "ingested_at", with_text)
     cards = secrets.find_secrets(table(spark, d, "source_chunks"), ["card_id"], "code", "asked_at", with_text)
