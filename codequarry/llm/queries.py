@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codequarry.llm import docpairs, secrets, splitting, syntax
+from codequarry.llm import docpairs, provenance, secrets, splitting, syntax
 from codequarry.llm.common import table
 
 
@@ -20,6 +20,14 @@ def p1_rates(spark, d):
     return syntax.broken_rates(p1_checked(spark, d))
 
 
+def p3_labels(spark, d):
+    return provenance.classify_files(table(spark, d, "chunks"), table(spark, d, "upstream_files"))
+
+
+def p3_found(spark, d):
+    return p3_labels(spark, d).where("label <> 'handwritten'").select("project_id", "file_path").distinct()
+
+
 def p4_pieces(spark, d):
     return splitting.split_oversized(table(spark, d, "chunks"), table(spark, d, "chunk_settings"))
 
