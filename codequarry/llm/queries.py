@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codequarry.llm import docpairs, provenance, secrets, splitting, syntax
-from codequarry.llm.common import table
+from codequarry.llm import docpairs, neardup, provenance, secrets, splitting, syntax
+from codequarry.llm.common import columns_or_null, newest, table
 
 
 def p1_checked(spark, d):
@@ -20,6 +20,24 @@ def p1_rates(spark, d):
     return syntax.broken_rates(p1_checked(spark, d))
 
 
+def _definitions(spark, d):
+    """The newest function, method and class records of chunks, as (id, text)."""
+    c = columns_or_null(table(spark, d, "chunks"), chunk_id="string", chunk_type="string", ingested_at="timestamp_ntz", text="string")
+    return newest(c, ["chunk_id"], "ingested_at").where(F.col("chunk_type").isin("function", "method", "class")).select(F.col("chunk_id").alias("id"), "text")
+
+
+def _near(spark, d):
+    return neardup.NearDuplicates(_definitions(spark, d), similarity=0.7, k=3, least_words=30)
+
+
+def p2_found(spark, d):
+    return _near(spark, d).pairs().select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b")).distinct()
+
+
+def p2_groups(spark, d):
+    return _near(spark, d).groups().withColumnRenamed("id", "chunk_id")
+
+
 def p3_labels(spark, d):
     return provenance.classify_files(table(spark, d, "chunks"), table(spark, d, "upstream_files"))
 
