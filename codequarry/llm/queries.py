@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codequarry.llm import docpairs, neardup, provenance, secrets, splitting, syntax
+from codequarry.llm import docpairs, neardup, neighbours, provenance, secrets, splitting, syntax
 from codequarry.llm.common import columns_or_null, newest, table
 
 
@@ -78,6 +78,16 @@ def p6_redacted(spark, d):
     return _secrets(spark, d, True)
 
 
+def p7_neighbours(spark, d):
+    v = table(spark, d, "embedded_chunks").select(F.col("chunk_id").alias("id"), F.col("embedded_at").alias("at"), "embedding")
+    return neighbours.most_similar(v).select(F.col("id").alias("chunk_id"), F.col("near_id").alias("near_chunk_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def p7_found(spark, d):
+    n = p7_neighbours(spark, d)
+    return n.select(F.least("chunk_id", "near_chunk_id").alias("chunk_id_a"), F.greatest("chunk_id", "near_chunk_id").alias("chunk_id_b")).distinct()
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
