@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import cut_lineage, struct_of
+from codequarry.llm.common import TYPES, cut_lineage, newest, struct_of
 
 _WORDS = re.compile(r"[a-z0-9_]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -27,7 +27,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str, k: int, least_words: int) -> np.ndarray | None:
-    """Sorted distinct 64-bit hashes of the sequences of ``k`` words, None for texts with too few words."""
+    """Sorted distinct 32-bit hashes of the sequences of ``k`` words, None for texts with too few words."""
     words = _WORDS.findall(text.lower())
     if len(words) < max(k, least_words):
         return None
@@ -43,7 +43,7 @@ def shingles(text: str, k: int, least_words: int) -> np.ndarray | None:
     h = np.zeros(len(a) - k + 1, dtype=np.uint64)
     for i in range(k):
         h = _mix(h * _M1 + a[i : len(a) - k + 1 + i] * _M2 + _M3)
-    return np.unique(h)
+    return np.unique((h >> np.uint64(32)).astype(np.uint32))
 
 
 def coordinate_seeds(n: int) -> np.ndarray:
@@ -52,7 +52,7 @@ def coordinate_seeds(n: int) -> np.ndarray:
 
 def signature(h: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Least mixed hash under every seed: two sets agree in a coordinate with the probability of their similarity."""
-    return _mix(h[:, None] ^ seeds[None, :]).min(axis=0)
+    return _mix(h.astype(np.uint64)[:, None] ^ seeds[None, :]).min(axis=0)
 
 
 def match_threshold(similarity: float, coordinates: int, miss: float = 0.001) -> int:
@@ -70,83 +70,111 @@ def _fingerprint(h: np.ndarray) -> bytes:
     return xxhash.xxh128_digest(h.tobytes())
 
 
-def _described(k: int, least_words: int, coordinates: int):
-    @F.pandas_udf(struct_of(fp="binary", signature="array<long>", shingles="array<long>"))
+def _described(k: int, least_words: int):
+    @F.pandas_udf(struct_of(fp="binary", shingles="binary"))
     def describe(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        seeds = coordinate_seeds(coordinates)
         for texts in parts:
             rows = []
             for t in texts:
                 h = None if t is None else shingles(t, k, least_words)
-                rows.append((None, None, None) if h is None else (_fingerprint(h), signature(h, seeds).view(np.int64), h.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["fp", "signature", "shingles"])
+                rows.append((None, None) if h is None else (_fingerprint(h), h.tobytes()))
+            yield pd.DataFrame(rows, columns=["fp", "shingles"])
 
     return describe
 
 
-def _posted(prefix: int, heavy: dict[int, int]):
-    """Posting elements of a document: hashes of (coordinate, value), the rare ones first, the first ``prefix`` of them."""
+def _elements(sets, seeds: np.ndarray) -> np.ndarray:
+    """Posting elements, hashes of (coordinate, value), one row for each set of shingles."""
+    sig = np.stack([signature(np.frombuffer(x, dtype=np.uint32), seeds) for x in sets])
+    return _mix(sig * _M2 + np.arange(sig.shape[1], dtype=np.uint64)[None, :] * _M1).view(np.int64)
+
+
+def _posted(coordinates: int, prefix: int, heavy: dict[int, int]):
+    """The first ``prefix`` elements of every class, rare ones first."""
 
     def post(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seeds = coordinate_seeds(coordinates)
+        frequent = np.array(sorted(heavy), dtype=np.int64)
+        weights = np.array([heavy[e] for e in sorted(heavy)], dtype=np.int64)
         for part in parts:
             if not len(part):
                 continue
-            sig = np.stack(part["signature"].to_numpy()).astype(np.int64).view(np.uint64)
-            elements = _mix(sig * _M2 + np.arange(sig.shape[1], dtype=np.uint64)[None, :] * _M1).view(np.int64)
-            if heavy:
-                weight = np.vectorize(lambda e: heavy.get(e, 0), otypes=[np.int64])(elements)
-                order = np.lexsort((elements, weight), axis=1)
-                elements = np.take_along_axis(elements, order, axis=1)
-            else:
-                elements = np.sort(elements, axis=1)
-            yield pd.DataFrame({"element": elements[:, :prefix].ravel(), "fp": np.repeat(part["fp"].to_numpy(), min(prefix, elements.shape[1]))})
+            elements = _elements(part["shingles"], seeds)
+            weight = np.zeros(elements.shape, dtype=np.int64)
+            if len(frequent):
+                place = np.minimum(np.searchsorted(frequent, elements), len(frequent) - 1)
+                weight = np.where(frequent[place] == elements, weights[place], 0)
+            order = np.lexsort((elements, weight), axis=1)[:, :prefix]
+            elements = np.take_along_axis(elements, order, axis=1)
+            yield pd.DataFrame({"element": elements.ravel(), "cid": np.repeat(part["cid"].to_numpy(), elements.shape[1])})
 
     return post
 
 
-def _elements_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        if len(part):
-            sig = np.stack(part["signature"].to_numpy()).astype(np.int64).view(np.uint64)
-            yield pd.DataFrame({"element": _mix(sig * _M2 + np.arange(sig.shape[1], dtype=np.uint64)[None, :] * _M1).view(np.int64).ravel()})
+def _all_elements(coordinates: int):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seeds = coordinate_seeds(coordinates)
+        for part in parts:
+            if len(part):
+                yield pd.DataFrame({"element": _elements(part["shingles"], seeds).ravel()})
+
+    return run
+
+
+@F.pandas_udf(TYPES["long"])
+def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Shingles in both of two sorted sets."""
+    return pd.Series([len(np.intersect1d(np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32), assume_unique=True)) for x, y in zip(a, b)], dtype="int64")
 
 
 class NearDuplicates:
     """Near-duplicate pairs of the records of a table.
 
     ``records`` has the columns ``id`` (distinct) and ``text``.  Records with the same set of shingles
-    form a class, and only classes are compared: ``members`` (fp, id), ``class_pairs`` (fp_a < fp_b,
-    shared, similarity).  Null texts and texts with fewer than ``least_words`` words take no part.
-
-    A class is posted under (coordinate, value) for the first K - m + 1 coordinates of its signature in
-    a global order, rare values first: two signatures that agree in m of K coordinates share one of
-    these (prefix), and long lists are only read where a class has little else (skip).  Pairs found
-    there are kept if their signatures agree in m coordinates, and then checked on their shingles, so
-    every pair returned is exact; a pair of just the threshold is missed with probability ``miss``.
-    The global order only has to be the same for all; the frequent values are counted on a sample of
-    at most ``order_sample`` classes and at most ``order_values`` of them are remembered.
+    form a class, and only classes are compared: ``members`` (fp, id), ``class_pairs`` (fp_a, fp_b,
+    each pair once, shared, similarity).  Null texts and texts with fewer than ``least_words`` words take no part.
+
+    A class is posted under (coordinate, value) for the first K - m + l coordinates of its signature in
+    a global order, rare values first: two signatures that agree in m of K coordinates share at least l
+    of these (prefix), and long lists are only read where a class has little else (skip).  Collisions
+    are counted for each pair, pairs with l or more are checked on their shingles, so every pair
+    returned has the similarity (of 32-bit hashes of shingles); a pair of just the threshold is missed
+    with probability ``miss``.  The global order only has to be the same for all; the frequent values
+    are counted on a sample of at most ``order_sample`` classes and at most ``order_values`` of them
+    are remembered.
     """
 
-    def __init__(self, records: DataFrame, similarity: float = 0.8, k: int = 5, least_words: int = 5, coordinates: int = 32, miss: float = 0.001, order_sample: int = 50_000, order_values: int = 20_000):
-        m = match_threshold(similarity, coordinates, miss)
-        d = records.select("id", _described(k, least_words, coordinates)("text").alias("_d")).where("_d.fp is not null").select("id", "_d.*")
+    #: Class ids, 8 bytes each, that may be broadcast to thin out the classes to check; beyond that the join shuffles.
+    BROADCAST_IDS = 1_000_000
+
+    def __init__(self, records: DataFrame, similarity: float = 0.8, k: int = 5, least_words: int = 5, coordinates: int = 32, collisions: int = 3, miss: float = 0.001, order_sample: int = 50_000, order_values: int = 20_000):
+        """``records``: id, text; with a column ``at`` the newest row of an id counts, with a column ``wanted`` only if that is true."""
+        m = max(collisions, match_threshold(similarity, coordinates, miss))
+        has = set(records.columns)
+        at = F.col("at") if "at" in has else F.lit(0).alias("at")
+        wanted = F.coalesce(F.col("wanted"), F.lit(False)) if "wanted" in has else F.lit(True)
+        d = records.where("id is not null").select("id", at, _described(k, least_words)(F.when(wanted, F.col("text"))).alias("_d")).select("id", "at", "_d.*")
+        d = newest(d, ["id"], "at", tie=["fp"]).where("fp is not null").select("id", "fp", "shingles")
         d = cut_lineage(d)
         self.members = d.select("fp", "id")
-        classes = d.select("fp", "signature", "shingles").dropDuplicates(["fp"])
+        classes = d.select("fp", "shingles").dropDuplicates(["fp"]).withColumn("cid", F.xxhash64("fp"))
         n = d.count()
         part = min(1.0, order_sample / max(1, n))
-        sample = d.select("fp", "signature").where(F.abs(F.xxhash64("fp")) % 1_000_000 < int(part * 1_000_000)).dropDuplicates(["fp"])
-        counts = sample.mapInPandas(_elements_of, "element long").groupBy("element").count().where("count >= 5").orderBy(F.desc("count"), "element").limit(order_values).collect()
+        sample = d.select("fp", "shingles").where(F.abs(F.xxhash64("fp")) % 1_000_000 < int(part * 1_000_000)).dropDuplicates(["fp"]).select("shingles")
+        counts = sample.mapInPandas(_all_elements(coordinates), "element long").groupBy("element").count().where("count >= 5").orderBy(F.desc("count"), "element").limit(order_values).collect()
         heavy = {r["element"]: r["count"] for r in counts}
-        posted = classes.select("fp", "signature").mapInPandas(_posted(coordinates - m + 1, heavy), "element long, fp binary")
-        pairs = posted.alias("a").join(posted.alias("b"), "element").where("a.fp < b.fp").select(F.col("a.fp").alias("fp_a"), F.col("b.fp").alias("fp_b")).distinct()
-        side = lambda s: classes.select(F.col("fp").alias(f"fp_{s}"), F.col("signature").alias(f"sig_{s}"), F.col("shingles").alias(f"sh_{s}"))
-        both = pairs.join(side("a"), "fp_a").join(side("b"), "fp_b")
-        matches = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        sizes = F.size("sh_a") + F.size("sh_b")
-        # sets of too different size can't be similar enough; then the signatures; then the shingles themselves
-        both = both.where((F.least(F.size("sh_a"), F.size("sh_b")) >= F.lit(similarity) * F.greatest(F.size("sh_a"), F.size("sh_b")) - 1e-9) & (matches >= m))
-        both = both.withColumn("shared", F.size(F.array_intersect("sh_a", "sh_b"))).withColumn("_all", sizes - F.col("shared"))
+        posted = classes.select("cid", "shingles").mapInPandas(_posted(coordinates, coordinates - m + collisions, heavy), "element long, cid long")
+        met = posted.alias("a").join(posted.alias("b"), "element").where("a.cid < b.cid").select(F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b"))
+        pairs = cut_lineage(met.groupBy("cid_a", "cid_b").agg(F.count("*").alias("n")).where(F.col("n") >= collisions).select("cid_a", "cid_b"))
+        ids = pairs.select(F.col("cid_a").alias("cid")).unionByName(pairs.select(F.col("cid_b").alias("cid"))).distinct()
+        few = 2 * pairs.count() <= self.BROADCAST_IDS
+        some = d.withColumn("cid", F.xxhash64("fp")).join(F.broadcast(ids) if few else ids, "cid", "left_semi").select("cid", "fp", "shingles").dropDuplicates(["fp"])
+        side = lambda s: some.select(F.col("cid").alias(f"cid_{s}"), F.col("fp").alias(f"fp_{s}"), F.col("shingles").alias(f"sh_{s}"))
+        both = pairs.join(side("a"), "cid_a").join(side("b"), "cid_b")
+        size = lambda s: F.octet_length(f"sh_{s}") / 4
+        # sets of too different size can't be similar enough
+        both = both.where(F.least(size("a"), size("b")) >= F.lit(similarity) * F.greatest(size("a"), size("b")) - 1e-9)
+        both = both.withColumn("shared", _shared("sh_a", "sh_b")).withColumn("_all", size("a") + size("b") - F.col("shared"))
         self.class_pairs = both.where(F.col("shared") >= F.lit(similarity) * F.col("_all") - 1e-9).select("fp_a", "fp_b", "shared", F.round(F.col("shared") / F.col("_all"), 6).alias("similarity"))
 
     def pairs(self) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codequarry.llm import docpairs, neardup, neighbours, provenance, secrets, splitting, syntax
-from codequarry.llm.common import columns_or_null, newest, table
+from codequarry.llm.common import columns_or_null, table
 
 
 def p1_checked(spark, d):
@@ -21,9 +21,9 @@ def p1_rates(spark, d):
 
 
 def _definitions(spark, d):
-    """The newest function, method and class records of chunks, as (id, text)."""
+    """The function, method and class records of chunks, as (id, at, wanted, text); the newest row of an id counts."""
     c = columns_or_null(table(spark, d, "chunks"), chunk_id="string", chunk_type="string", ingested_at="timestamp_ntz", text="string")
-    return newest(c, ["chunk_id"], "ingested_at").where(F.col("chunk_type").isin("function", "method", "class")).select(F.col("chunk_id").alias("id"), "text")
+    return c.select(F.col("chunk_id").alias("id"), F.col("ingested_at").alias("at"), F.col("chunk_type").isin("function", "method", "class").alias("wanted"), "text")
 
 
 def _near(spark, d):
