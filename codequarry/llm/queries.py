@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codequarry.llm import docpairs, neardup, neighbours, provenance, secrets, splitting, syntax
+from codequarry.llm import docpairs, mixing, neardup, neighbours, packing, provenance, secrets, splitting, subjects, syntax
 from codequarry.llm.common import columns_or_null, table
 
 
@@ -88,6 +88,35 @@ def p7_found(spark, d):
     return n.select(F.least("chunk_id", "near_chunk_id").alias("chunk_id_a"), F.greatest("chunk_id", "near_chunk_id").alias("chunk_id_b")).distinct()
 
 
+def p8_containers(spark, d):
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+def p8_report(spark, d):
+    return packing.packing_report(p8_containers(spark, d))
+
+
+def p8_found(spark, d):
+    return p8_containers(spark, d).where("pieces > 1").select("doc_id").distinct()
+
+
+def p9_shares(spark, d):
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_plan")).report()
+
+
+def p9_selection(spark, d):
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_plan")).selection()
+
+
+def p10_subjects(spark, d):
+    documents = table(spark, d, "documents")
+    return subjects.SubjectModel(documents, table(spark, d, "subject_labels")).assign(documents)
+
+
+def p10_found(spark, d):
+    return p10_subjects(spark, d).select("doc_id", "subject").distinct()
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
