@@ -104,7 +104,7 @@ def context_text(packed: DataFrame) -> DataFrame:
     name = F.coalesce(F.nullif("function_name", F.lit("")), F.nullif("class_name", F.lit("")), F.lit(""))
     head = F.concat(
         F.lit("File: "), "file_path", F.lit(" | Language: "), F.coalesce("language", F.lit("")), F.lit(" | Lines: "), F.coalesce(F.col("start_line").cast("string"), F.lit("0")), F.lit("-"), F.coalesce(F.col("end_line").cast("string"), F.lit("0")),
-        F.lit("\nType: "), F.coalesce("chunk_type", F.lit("block")), F.lit(" "), name, F.lit(" | Relevance: "), F.format_string("%.1f%%", F.col("final_score") * 100), F.lit("\n"),
+        F.lit("\nType: "), F.coalesce("chunk_type", F.lit("block")), F.lit(" "), name, F.lit(" | Relevance: "), F.format_string("%.1f%%", F.round(F.round(F.col("final_score") * 100, 2), 1)), F.lit("\n"),
     )
     rows = packed.withColumn("_b", F.concat(head, F.col("text")))
     g = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "_b", "file_path", "tier", "tokens"))).alias("_p"))

@@ -42,7 +42,7 @@ def documents(spark, d):
 
 
 def edges(spark, d):
-    return graph.resolve_prefix(modules(spark, d))
+    return graph.resolve_imports(modules(spark, d))
 
 
 def joined(c):
@@ -415,7 +415,12 @@ def import_exact_resolve(spark, d):
 
 @query
 def import_prefix_resolve(spark, d):
-    return edges(spark, d).select("project_id", "source", "target", "label")
+    return graph.resolve_prefix(modules(spark, d)).select("project_id", "source", "target", "label")
+
+
+@query
+def import_dotted_resolve(spark, d):
+    return graph.resolve_prefix(modules(spark, d), dotted=True).select("project_id", "source", "target", "label")
 
 
 @query
