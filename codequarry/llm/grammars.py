@@ -322,7 +322,7 @@ P implements
     angle = None
     if ts:
         priv = "-"
-        angle = rf"(?:(?<=[A-Za-z.])|(?<=[=(,:;→{priv}])|^)<(?:[A-Za-z.,|‹=k\"1?:→`\n{priv}])+>(?![{I[1:-1]}k1\"])"
+        angle = rf"(?:(?<=[A-Za-z.])|(?<=[=(,:;→{priv}])|^)<(?:[A-Za-z.,|‹=k\"1?:→`\n{priv}])+>(?![iaogSFTMXUk1\"])"
     return BracketGrammar(scanner, kinds, keywords, newlines, {"(": P, "[": S, "{": B}, named, rules, LIST, angle)
 
 
