@@ -128,8 +128,8 @@ _NEWEST = "chunks_n AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER
 ORACLES = {
     "p2_found": f"""WITH {_NEWEST}, w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS ws FROM chunks_n WHERE chunk_type IN ('function', 'method', 'class') AND text IS NOT NULL),
 s AS (SELECT DISTINCT chunk_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS sh FROM (SELECT chunk_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 30)),
-n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b, count(*) AS both FROM s a JOIN s b ON a.sh = b.sh AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
-SELECT chunk_id_a, chunk_id_b FROM p JOIN n x ON x.chunk_id = chunk_id_a JOIN n y ON y.chunk_id = chunk_id_b WHERE 10 * both >= 7 * (x.n + y.n - both)""",
+n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b, count(*) AS shared FROM s a JOIN s b ON a.sh = b.sh AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+SELECT chunk_id_a, chunk_id_b FROM p JOIN n x ON x.chunk_id = chunk_id_a JOIN n y ON y.chunk_id = chunk_id_b WHERE 10 * shared >= 7 * (x.n + y.n - shared)""",
     "p4_found": f"""WITH {_NEWEST}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY updated_at DESC NULLS LAST) AS rn FROM chunk_settings) WHERE rn = 1)
 SELECT c.chunk_id FROM chunks_n c LEFT JOIN s ON s.project_id = c.project_id AND s.project_id <> '*' WHERE length(c.text) > coalesce(s.chunk_size, (SELECT chunk_size FROM s WHERE project_id = '*'))""",
     "p7_found": """WITH v AS (SELECT chunk_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY embedded_at DESC NULLS LAST) AS rn FROM embedded_chunks) WHERE rn = 1 AND len(embedding) = 384),
