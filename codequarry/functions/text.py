@@ -147,7 +147,7 @@ def in_skipped_directory(path: Column) -> Column:
 
 def line_count(text: Column) -> Column:
     """Lines as an editor counts them: a last line end opens no new line, an empty text has none."""
-    s = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\n$", "")
+    s = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"\n\z", "")
     return F.when(text == "", 0).otherwise(F.size(F.split(s, "\n")))
 
 
