@@ -215,3 +215,12 @@ def truncated(text: Column, most: int) -> Column:
 def readable_bytes(n: Column) -> Column:
     unit = F.least(F.greatest(F.floor(F.log(F.lit(1024.0), F.greatest(n, F.lit(1)))), F.lit(0)), F.lit(3)).cast("int")
     return F.when(n == 0, "0 B").otherwise(F.concat(F.round(n / F.pow(F.lit(1024.0), unit), 1).cast("string"), F.lit(" "), F.element_at(F.array(*[F.lit(x) for x in ("B", "KB", "MB", "GB")]), unit + 1)))
+
+
+def time_ago(then: Column, now: Column) -> Column:
+    """Minutes, hours or days since a time, in words."""
+    minutes = F.timestamp_diff("MINUTE", then, now)
+    return (
+        F.when(minutes < 1, "just now").when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago"))).when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit("h ago")))
+        .otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit("d ago")))
+    )

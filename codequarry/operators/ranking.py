@@ -177,3 +177,9 @@ def retrieve(chunks: DataFrame, variants: DataFrame, queries: DataFrame, config:
     hits = found.select(F.from_json("query_id", f"query_id {kind['query_id']}, variant_no int").alias("_k"), "id", "rank", "similarity").select("_k.*", "id", "rank", "similarity")
     fused = fuse(hits, 2 * config.top_k, config.rrf_k)
     return rerank(hybrid(fused, chunks, queries, 2 * config.top_k, config), config.top_k, config)
+
+
+def with_fallback(hits: DataFrame, fallback: DataFrame) -> DataFrame:
+    """``hits``, and for queries without any those of ``fallback`` (found by keywords, without filters) as one list."""
+    missing = fallback.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    return hits.unionByName(missing.select(*[F.lit(0).alias(c) if c == "variant_no" else F.col(c) for c in hits.columns]))

@@ -206,6 +206,20 @@ def test_sessions(spark):
     assert "a &lt; b &amp; c" in html and "x" not in html.replace("</body>", "").split("<section")[0]
 
 
+def test_generation_and_fallback(spark):
+    from codequarry.operators import generation as g
+
+    df = spark.createDataFrame([("What?", "code", None), (None, "", "")], "q string, c string, h string").withColumn("prompt", g.chat_prompt(F.col("q"), F.col("c"), F.col("h")))
+    got = [(r["prompt"], r["answer"]) for r in g.answer(df).collect()]
+    assert got == [("## Code\ncode\n\n## Question\nWhat?", "[31 characters]"), ("", "[0 characters]")]
+    hits = spark.createDataFrame([(1, 1, 1, "a", 0.5)], "query_id int, variant_no int, rank int, id string, similarity double")
+    more = spark.createDataFrame([(1, 1, "b", 0.9), (2, 1, "c", 0.4)], "query_id int, rank int, id string, similarity double")
+    assert {(r["query_id"], r["variant_no"], r["id"]) for r in ranking.with_fallback(hits, more).collect()} == {(1, 1, "a"), (2, 0, "c")}
+    ago = spark.sql("select timestamp_ntz'2025-01-01 10:00:00' a, timestamp_ntz'2025-01-01 12:30:00' b").select(tx.time_ago(F.col("a"), F.col("b")).alias("x"))
+    assert ago.first()["x"] == "2h ago"
+    assert one(spark, tx.readable_bytes(F.lit(1536)), t="") == "1.5 KB"
+
+
 def test_registry(spark):
     rows = [("a", "One", "zip", "u/", "completed", 1, 2, "2024-01-01", "2024-01-01"), ("a", "One", "zip", "u/", "failed", 1, 2, "2024-01-01", "2024-02-01"), ("b", "one", "zip", "u", "completed", 1, 2, "2024-01-03", "2024-01-03"), ("c", "One", "zip", None, "pending", 1, 2, "2024-01-04", "2024-01-04")]
     p = spark.createDataFrame(rows, "project_id string, project_name string, source_type string, source_url string, status string, file_count int, chunk_count int, created_at string, updated_at string")
