@@ -213,7 +213,7 @@ def truncated(text: Column, most: int) -> Column:
 
 
 def readable_bytes(n: Column) -> Column:
-    unit = F.least(F.greatest(F.floor(F.log(F.lit(1024.0), F.greatest(n, F.lit(1)))), F.lit(0)), F.lit(3)).cast("int")
+    unit = F.least(F.greatest(F.floor(F.log(1024.0, F.greatest(n, F.lit(1)))), F.lit(0)), F.lit(3)).cast("int")
     return F.when(n == 0, "0 B").otherwise(F.concat(F.round(n / F.pow(F.lit(1024.0), unit), 1).cast("string"), F.lit(" "), F.element_at(F.array(*[F.lit(x) for x in ("B", "KB", "MB", "GB")]), unit + 1)))
 
 
