@@ -1,4 +1,4 @@
-"""Problem 10: subject areas of documents, by latent Dirichlet topic models."""
+"""Problem 10: subject areas of documents, by evidence of words that starts from latent Dirichlet topics."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,7 +72,9 @@ class SubjectModel:
     4. A word's subject shares are those of its topics, corrected by the labelled documents that hold
        it (at most ``label_rows`` labels are used), then by all documents with the subjects found so.
 
-    A document gets a subject if two or more of its sentences deal with it.
+    A document gets a subject if two or more of its sentences deal with it: ``assign()`` judges sentences by
+    words, and the topics only act through the first weighing.  ``by_topics()`` is the assignment from topic
+    proportions, which knows no sentences.
     """
 
     def __init__(self, documents: DataFrame, labels: DataFrame, topics: int = 60, vocabulary: int = 12_000, common: float = 0.2, label_rows: int = 50_000, iterations: int = 20, batch_rows: int = 2_500, strength: float = 4.0, seed: int = 7):
@@ -82,6 +85,7 @@ class SubjectModel:
         self.subjects = sorted(r[0] for r in labels.where("subject is not null").select("subject").distinct().limit(1000).collect())
         self.evidence: dict[str, list[tuple[int, float]]] = {}
         self.topic_table: list[tuple] = []
+        self._topics: tuple | None = None
         if not n or not self.subjects:
             return
         sizes = {r["language"]: r["n"] for r in words.groupBy("language").agg(F.count("*").alias("n")).collect()}
@@ -112,6 +116,7 @@ class SubjectModel:
         mapped = (theta.T @ (y / np.maximum(1, y.sum(axis=1, keepdims=True))) + 0.5 * base / base.sum()) / (theta.sum(axis=0)[:, None] + 0.5)
         weight = phi / np.maximum(phi.sum(axis=1, keepdims=True), 1e-12)
         share = weight @ mapped  # words x subjects
+        self._topics = (model, vectors, mapped)
         self.base = base
         # documents with a word and those of them with a subject, among the labelled
         told = words.join(by_doc, "doc_id").select("given", F.explode(F.array_distinct("words")).alias("word"))
@@ -146,6 +151,21 @@ class SubjectModel:
         """topic, subject, share, top_terms."""
         return spark.createDataFrame(self.topic_table, "topic int, subject string, share double, top_terms array<string>")
 
+    def by_topics(self, spark, least_share: float = 0.25) -> DataFrame:
+        """doc_id, subject, share: subjects that have ``least_share`` or more of a fitted document by its topic
+        proportions, each topic counted for the subjects it is mapped to; a document without words of the topics gives none."""
+        if self._topics is None:
+            return spark.createDataFrame([], "doc_id long, subject string, share double")
+        model, vectors, mapped = self._topics
+        names = self.subjects
+
+        @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("subject", TYPES["string"]), T.StructField("share", TYPES["double"])])))
+        def shares(theta: pd.Series) -> pd.Series:
+            return theta.map(lambda t: [{"subject": names[k], "share": float(x)} for k, x in enumerate(np.asarray(t) @ mapped) if x >= least_share])
+
+        told = model.transform(vectors).select("doc_id", F.explode(shares(vector_to_array("topicDistribution"))).alias("x"))
+        return told.groupBy("doc_id", "x.subject").agg(F.round(F.max("x.share"), 6).alias("share"))
+
     def assign(self, documents: DataFrame, least_sentences: int = 2, threshold: float = 3.8) -> DataFrame:
         """doc_id, subject, sentences (that deal with it), share (of the document's sentences), for each subject of a document.
 

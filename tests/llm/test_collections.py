@@ -234,6 +234,21 @@ def test_subjects(spark):
     assert empty.assign(d).count() == 0
 
 
+def test_subjects_by_topic_proportions(spark):
+    rng = random.Random(5)
+    areas = sorted(AREAS)
+    docs = [(i, " ".join(f"The {w} stood in our report." for w in rng.choices(AREAS[areas[i % 5]].split(), k=8))) for i in range(300)]
+    d = spark.createDataFrame([*docs, docs[0], (900, None), (901, "")], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, areas[i % 5], "r") for i in range(0, 300, 3)], "doc_id long, subject string, labelled_by string")
+    model = subjects.SubjectModel(d, lab, topics=12, iterations=15)
+    rows = model.by_topics(spark, 0.5).collect()
+    got = {(r["doc_id"], r["subject"]) for r in rows}
+    want = {(i, areas[i % 5]) for i in range(300)}
+    assert len(rows) == len(got) and all(0.5 <= r["share"] <= 1 for r in rows)
+    assert len(got & want) >= 0.8 * len(want) and len(got & want) >= 0.9 * len(got)
+    assert subjects.SubjectModel(d.limit(0), lab).by_topics(spark).count() == 0
+
+
 def test_sentences():
     assert subjects.sentences("Question: where from? Answer: from there. Next one.\n\n# Title\n\nText")[:2] == ["Question: where from? Answer: from there.", "Next one."]
     assert subjects.sentences("") == [] and subjects.sentences("\r\n \n") == []
