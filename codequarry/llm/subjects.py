@@ -60,13 +60,19 @@ def _language(words: pd.Series) -> pd.Series:
     return words.map(one)
 
 
+def batch_rate(n: int, iterations: int, batch_rows: int, draws: float) -> float:
+    """Share of ``n`` documents in a mini-batch."""
+    return float(min(1.0, max(batch_rows / n, draws / iterations)))
+
+
 class SubjectModel:
     """Evidence of words for subjects, from latent Dirichlet topics and a bounded number of labels.
 
     1. Words found in more than ``common`` of the documents of their language are left out of the
        topics; all documents are counted.
     2. A distributed online LDA with ``topics`` topics is fitted; each of its ``iterations``
-       mini-batches of about ``batch_rows`` is drawn from all documents.
+       mini-batches is drawn from all documents: about ``batch_rows``, or as many as it takes that a
+       document is drawn ``draws`` times on average (5: under 1 % never), whatever the corpus size.
     3. Topics are mapped to subjects by the labelled documents' topic proportions; ``inspection()``
        lists the top terms beside the mapping.
     4. A word's subject shares are those of its topics, corrected by the labelled documents that hold
@@ -77,7 +83,7 @@ class SubjectModel:
     proportions, which knows no sentences.
     """
 
-    def __init__(self, documents: DataFrame, labels: DataFrame, topics: int = 60, vocabulary: int = 12_000, common: float = 0.2, label_rows: int = 50_000, iterations: int = 20, batch_rows: int = 2_500, strength: float = 4.0, seed: int = 7):
+    def __init__(self, documents: DataFrame, labels: DataFrame, topics: int = 60, vocabulary: int = 12_000, common: float = 0.2, label_rows: int = 50_000, iterations: int = 20, batch_rows: int = 2_500, draws: float = 5.0, strength: float = 4.0, seed: int = 7):
         d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
         words = d.select("doc_id", _terms_of("text").alias("words")).where("size(words) > 0")
         words = cut_lineage(words.withColumn("language", _language("words")))
@@ -98,7 +104,7 @@ class SubjectModel:
 
         vectors = CountVectorizerModel.from_vocabulary(chosen, inputCol="words", outputCol="features").transform(words.select("doc_id", "words")).select("doc_id", "features")
         vectors = cut_lineage(vectors)
-        lda = LDA(k=topics, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=float(min(1.0, batch_rows / n)), docConcentration=[0.05] * topics, topicConcentration=0.02, learningOffset=10.0, learningDecay=0.6, optimizeDocConcentration=False)
+        lda = LDA(k=topics, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=batch_rate(n, iterations, batch_rows, draws), docConcentration=[0.05] * topics, topicConcentration=0.02, learningOffset=10.0, learningDecay=0.6, optimizeDocConcentration=False)
         model = lda.fit(vectors)
         phi = model.topicsMatrix().toArray()  # words x topics, bounded by the vocabulary
 
@@ -125,7 +131,7 @@ class SubjectModel:
         self._weigh({w: (share[place[w]] if w in place else base / base.sum(), *counts.get(w, (0, 0.0))) for w in {*chosen, *counts}}, base, strength)
         # once more with the subjects that this evidence gives to all documents (three sentences or more,
         # so that a word doesn't vouch for itself), which reaches words without labels
-        given = self.assign(documents, least_sentences=3, threshold=2.6).groupBy("doc_id").agg(F.collect_set("subject").alias("given"))
+        given = cut_lineage(self.assign(documents, least_sentences=3, threshold=2.6).groupBy("doc_id").agg(F.collect_set("subject").alias("given")))
         told = words.join(given, "doc_id", "left").select(F.coalesce("given", F.array().cast("array<string>")).alias("given"), F.explode(F.array_distinct("words")).alias("word"))
         seen = told.groupBy("word").agg(F.count("*").alias("n"), *[F.sum(F.array_contains("given", x).cast("long")).alias(f"s{i}") for i, x in enumerate(self.subjects)])
         rows = seen.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(2 * vocabulary).collect()

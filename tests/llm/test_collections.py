@@ -1,4 +1,5 @@
 import datetime as dt
+import inspect
 import itertools
 import random
 import re
@@ -249,6 +250,13 @@ def test_subjects_by_topic_proportions(spark):
     assert subjects.SubjectModel(d.limit(0), lab).by_topics(spark).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 100, 10_000, 100_000, 10_000_000])
+def test_every_document_is_drawn_at_any_size(n):
+    defaults = {k: v.default for k, v in inspect.signature(subjects.SubjectModel.__init__).parameters.items()}
+    rate = subjects.batch_rate(n, defaults["iterations"], defaults["batch_rows"], defaults["draws"])
+    assert 0 < rate <= 1 and np.exp(-rate * defaults["iterations"]) < 0.01  # share never drawn, with replacement
+
+
 def test_sentences():
     assert subjects.sentences("Question: where from? Answer: from there. Next one.\n\n# Title\n\nText")[:2] == ["Question: where from? Answer: from there.", "Next one."]
     assert subjects.sentences("") == [] and subjects.sentences("\r\n \n") == []
