@@ -28,18 +28,45 @@ _NO_SECRET = re.compile(r"(?i)\A(?:sha\d*[-:]|md5[-:]|data:|[0-9a-f]{8}-[0-9a-f]
 _DULL_NAME = re.compile(r"(?i)(?:public|kind|type|name|field|url|uri|path|header|count|size|length|hash|digest|checksum|file|label|prefix|expir\w*|ttl|limit|index|total|id)\Z|public|checksum")
 _ID_NAME = re.compile(r"(?i)access_?key_?id\Z")
 _NAME_TAIL = re.compile(r"[\w.$-]*\Z")
-LONGEST = 400
+_PASSWORD_NAME = re.compile(r"(?i:passw(?:or)?d|passphrase|pwd)\Z|(?:\A|[_.-])(?i:pass)\Z|[a-z]Pass\Z")
+#: A longer value is embedded data unless the name itself ends in the word for a credential (``tokenData`` doesn't).
+EMBEDDED = 400
+_CREDENTIAL_END = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth|access|credentials?|key_?material|jwt)_?\Z")
+#: Base64 of pictures, archives, documents, markup and fonts, and framed keys and certificates, which have a rule of their own.
+_FILE = re.compile(r"\A(?:iVBORw0KGgo|R0lGOD|/9j/|JVBERi0|UEsDB|H4sI|PHN2Zy|PD94bW|PCFET0|d09G|AAEAAAA|-----BEGIN )")
+#: What a user reads beside a password field, and pieces of code.
+_PROSE = re.compile(r"(?i)\b(?:pass(?:word|phrase|code)?|passwort|contraseña|passe|enter|type|choose|please|required?|must|should|cannot|invalid|wrong|forgot\w*|confirm\w*|repeat|the|is|are|not|your|characters?)\b|[.:?!…,;]\s*\Z|[{}()\[\]<>]|//|/\*|\A#")
+
+_SHORT = frozenset("http https html xhtml xml css sql ssl tls ssh jwt grpc ftp sftp tcp dns cdn npm pdf png csv tsv ctrl ctx cfg mgr msg btn str ptr src dst tmp fmt cmd pkg svc rpc mqtt nth".split())
+
+
+def _opaque(value: str) -> bool:
+    """Whether a value without digits is no plain words: three case switches (which may share a letter) and a piece
+    of one case pattern without a vowel, or a long run of consonants."""
+    if len(value) >= 12 and len(set(value.lower())) >= 6 and re.search(r"[bcdfghjklmnpqrstvwxz]{7}|[BCDFGHJKLMNPQRSTVWXZ]{8}", value):
+        return True
+    if re.fullmatch(r"[A-Z]?[a-z]{3,}(?:[-_./]?[A-Z][a-z]{2,})*", value):
+        return False
+    pieces = {x.lower() for x in re.findall(r"[A-Z]?[a-z]+", value)} - _SHORT
+    return len(re.findall(r"(?=[a-z][A-Z]|[A-Z][a-z])", value)) >= 3 and any(len(x) >= 3 and not re.search(r"[aeiouy]", x) for x in pieces)
 
 
-def is_secret(value: str, least: int = 6) -> bool:
+def is_secret(value: str, least: int = 6, password: bool = False) -> bool:
     """Whether a literal, found where a secret belongs, is one: no placeholder, reference, hash, id or
-    embedded file, and not made of plain words only."""
-    if not least <= len(value) <= LONGEST or " " in value.strip() or _PLACEHOLDER.match(value) or _REFERENCE.search(value) or _NO_SECRET.match(value):
+    embedded file, and not made of plain words only.  Where the place is one of a ``password``, digits
+    alone, pass phrases and words joined by special characters are secrets too."""
+    if len(value) < least or _PLACEHOLDER.match(value) or _REFERENCE.search(value) or _NO_SECRET.match(value) or _FILE.match(value):
         return False
+    if re.search(r"\s", value.strip()):
+        words = value.split()
+        return password and not _PROSE.search(value) and (len(words) >= 3 or any(re.search(r"\d", w) and re.search(r"[^\W\d_]", w) for w in words))
     if any(c.isdigit() for c in value):
-        return any(c.isalpha() for c in value)
+        return password or any(c.isalpha() for c in value)
+    if password and len(value) >= 8 and re.search(r"[a-z]", value) and re.search(r"[A-Z]", value) and re.search(r"\w[!@#$%^&*+=~?|]+\w", value) and not re.fullmatch(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", value):
+        return True
     switches = len(re.findall(r"[a-z][A-Z]|[A-Z][a-z]", value))
-    return switches >= 3 and not re.fullmatch(r"[A-Z]?[a-z]{3,}(?:[-_./]?[A-Z][a-z]{2,})*", value) and not re.fullmatch(r"(?:[A-Z][a-z]*-)+[A-Z][a-z]*", value)
+    words = re.fullmatch(r"[A-Z]?[a-z]{3,}(?:[-_./]?[A-Z][a-z]{2,})*", value) or re.fullmatch(r"(?:[A-Z][a-z]*-)+[A-Z][a-z]*", value)
+    return (switches >= 3 and not words) or _opaque(value)
 
 
 # --- detection rules ------------------------------------------------------------------------
@@ -216,9 +243,14 @@ def verify(rule: str, text: str) -> list[tuple[int, int]]:
                 name = _NAME_TAIL.search(text[max(0, m.start() - 80) : m.end("name")])[0]
             if name and _DULL_NAME.search(name) and not _ID_NAME.search(name):
                 continue
-            if not is_secret(value, least):
+            password = bool(_PASSWORD_NAME.search(name)) or rule in ("url", "connection", "curl_user") or (rule == "option" and m[0].lower().lstrip("-").startswith("pass")) or (rule == "mysql_option" and text[start - 1] == "p")
+            if not is_secret(value, least, password):
+                continue
+            if name and len(value) > EMBEDDED and not _CREDENTIAL_END.search(name):
+                continue
+            if rule == "environment" and re.fullmatch(r"\d[\d._-]*", value) and not (password and name.isupper() and value.isdigit()):
                 continue
-            if rule == "environment" and (not re.search(r"\d", value) or re.fullmatch(r"[a-z_]+\d{0,2}|[\w.]+\(.*|\d[\d._-]*", value) or re.search(r"[a-z_]\.[a-z_]", value)):
+            if rule == "environment" and (not re.search(r"\d", value) and not (name.isupper() and _opaque(value)) or re.fullmatch(r"[a-z_]+\d{0,2}|[\w.]+\(.*", value) or re.search(r"[a-z_]\.[a-z_]", value)):
                 continue
             if rule == "call" and not (re.search(r"\d", value) and re.fullmatch(r"[^\s/:]{10,}", value)):
                 continue

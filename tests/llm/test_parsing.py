@@ -104,6 +104,28 @@ def test_secrets():
         assert not secrets.find_in_block([text]), text
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        'const adminPass = "Cgpc-YdNAN-KOIR";', 'apiKey = "THdy-HDRan-wYgt"', f'access_token = "{"aB3dE5gH7jK9" * 50}"', 'db_password = "83729104"', 'password = "correct horse battery staple"', 'c = "Server=a;Uid=b;Pwd=83729104;Pooling=true"',
+        "DB_PASSWORD=83729104", 'smtp_pass = "Horse!Battery"', 'signing_key = "wqtrzkpfbvhnmxcd"', "export API_KEY=Cgpc-YdNAN-KOIR",
+    ],
+)
+def test_secrets_without_digits_or_of_unusual_form(text):
+    assert secrets.find_in_block([text]), text
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'token = "getIdToken"', 'access = "XMLHttpRequest"', 'password = "Enter your new password"', 'password = "Please choose one"', 'token = "12345678"', 'token = "a list of words"', "password_length = 83729104", "token = ctxMgrPtr", "passwordTimeout = 864000",
+        f'tokenData = "{"aB3dE5gH7jK9" * 50}"', f'token = "iVBORw0KGgo{"aB3dE5gH7jK9" * 50}"', 'password = "me@Example.com"', 'token = "Rechtsprechung"', 'compass = "83729104"', 'password = "00000000"', "mysql -h db -P33060",
+    ],
+)
+def test_no_secrets_of_unusual_form(text):
+    assert not secrets.find_in_block([text]), text
+
+
 def test_joined_literals_count_once():
     text = 'keyMaterial = "i2TWn10iw4sey7Bde" + "zIMlaqfpyhW3DGmB"\nx = 1'
     found = secrets.find_in_block([text])[0]
