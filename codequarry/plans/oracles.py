@@ -230,6 +230,10 @@ SELECT r.answer_id, r.file_path, rs AS relevance_score, g.cards, ll.ranges, sha2
 SELECT project_id, file_path, regexp_replace(regexp_replace(c, '\.js$', ''), '\.ts$', '') AS module_name, array_to_string(list_concat(regexp_extract_all(content, 'import\s+(?:[^''"\n;]*?\s+from\s+)?[''"]([^''"]+)[''"]', 1), regexp_extract_all(content, 'require\s*\(\s*[''"]([^''"]+)[''"]\s*\)', 1)), '|') AS imports,
 array_to_string(list_concat(regexp_extract_all(content, 'export\s+(?:default\s+)?(?:async\s+)?function\s+(\w+)', 1), regexp_extract_all(content, 'export\s+(?:default\s+)?class\s+(\w+)', 1), regexp_extract_all(content, 'export\s+(?:const|let|var)\s+(\w+)', 1)), '|') AS exports,
 array_to_string(regexp_extract_all(content, '\bclass\s+(\w+)', 1), '|') AS classes, array_to_string(regexp_extract_all(content, '\bclass\s+\w+\s+extends\s+([\w.]+)', 1), '|') AS inherits_from FROM p3""",
+    "script_entries": rf"""WITH {FILES}, x AS (SELECT * FROM files_n WHERE language IN ('javascript', 'typescript') AND content IS NOT NULL)
+SELECT project_id, file_path, array_to_string(list_transform(list_zip(regexp_extract_all(content, '\b(?:function\s+(\w+)|const\s+(\w+)\s*=\s*(?:async\s*)?\()', 1), regexp_extract_all(content, '\b(?:function\s+(\w+)|const\s+(\w+)\s*=\s*(?:async\s*)?\()', 2)), lambda z: coalesce(z[1], '') || coalesce(z[2], '')), '|') AS functions,
+array_to_string(list_transform(list_zip(regexp_extract_all(content, '(?:app|router)\.(get|post|put|delete|patch|use)\s*\(\s*[''"]([^''"]+)[''"]', 1), regexp_extract_all(content, '(?:app|router)\.(get|post|put|delete|patch|use)\s*\(\s*[''"]([^''"]+)[''"]', 2)), lambda z: upper(z[1]) || ' ' || z[2]), '|') AS entry_points,
+regexp_matches(content, '\.listen\s*\(|express\s*\(|createServer\s*\(|Fastify\s*\(|Koa\s*\(') OR regexp_extract(file_path, '[^/\\]*$') IN ('index.js', 'index.ts', 'main.js', 'main.ts', 'server.js', 'server.ts', 'app.js', 'app.ts') AS is_entry_point FROM x""",
     "generic_extract": rf"""WITH {FILES}, x AS (SELECT *, coalesce(language, '') AS l FROM files_n WHERE content IS NOT NULL AND coalesce(language, '') NOT IN ('python', 'javascript', 'typescript'))
 SELECT project_id, file_path, regexp_extract(file_path, '([^/]+?)(?:\.[^./]+)?$', 1) AS module_name,
 array_to_string(CASE l WHEN 'java' THEN regexp_extract_all(content, '(?m)^import\s+(?:static\s+)?([\w.]+)', 1) WHEN 'go' THEN regexp_extract_all(content, '"([\w./-]+)"', 1) WHEN 'rust' THEN regexp_extract_all(content, '(?m)^use\s+([\w:]+)', 1) ELSE CAST([] AS VARCHAR[]) END, '|') AS imports,

@@ -483,6 +483,12 @@ def script_extract(spark, d):
     return n.select("project_id", "file_path", "module_name", F.array_join("imports", "|").alias("imports"), F.array_join("exports", "|").alias("exports"), F.array_join("classes", "|").alias("classes"), F.array_join("inherits_from", "|").alias("inherits_from"))
 
 
+@query
+def script_entries(spark, d):
+    n = graph.extract_script(files(spark, d))
+    return n.select("project_id", "file_path", F.array_join("functions", "|").alias("functions"), F.array_join("entry_points", "|").alias("entry_points"), "is_entry_point")
+
+
 @query
 def generic_extract(spark, d):
     n = graph.extract_generic(files(spark, d))

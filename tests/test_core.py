@@ -151,6 +151,15 @@ def test_python_node():
     assert ast.parse("")  # the extractor and this test use the same parser
 
 
+def test_script_node(spark):
+    common = "const express = require('express')\nconst run = async (x) => x\nconst go = (y) => y\nfunction stop() {}\nrouter.get('/a', run)\napp . use('/no')\napp.post( \"/b\", go)\nmodule.exports = { run, go }\nmodule.exports = { }\n"
+    rows = [("p", "src/api.js", "javascript", common), ("p", "web/index.ts", "typescript", "export const a = 1"), ("p", "web/reindex.ts", "typescript", "const b = 1"), ("p", "k.js", "javascript", "new Koa()"), ("p", "f.js", "javascript", "Fastify({})"), ("p", "h.js", "javascript", "http.createServer(x)"), ("p", "n.js", "javascript", None)]
+    got = {r["file_path"]: r for r in graph.extract_script(spark.createDataFrame(rows, "project_id string, file_path string, language string, content string")).collect()}
+    a = got["src/api.js"]
+    assert a["exports"] == ["run, go"] and a["functions"] == ["run", "go", "stop"] and a["entry_points"] == ["GET /a", "POST /b"] and not a["is_entry_point"] and a["imports"] == ["express"]
+    assert {p for p, r in got.items() if r["is_entry_point"]} == {"web/index.ts", "k.js", "f.js", "h.js"} and "n.js" not in got
+
+
 MODULE = "project_id string, file_path string, language string, module_name string, imports array<string>, exports array<string>, classes array<string>, functions array<string>, inherits_from array<string>, entry_points array<string>, is_entry_point boolean, size_lines int"
 
 
