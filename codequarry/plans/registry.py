@@ -170,7 +170,7 @@ def size_bucket(spark, d):
 
 @query
 def large_repo_cap(spark, d):
-    return registry.cap_large(files(spark, d), 100).select("project_id", "file_path", "priority", "rank")
+    return registry.cap_large(files(spark, d)).select("project_id", "file_path", "priority", "rank")
 
 
 @query

@@ -1,4 +1,5 @@
 import ast
+import datetime as dt
 import io
 import json
 import math
@@ -240,6 +241,16 @@ def test_registry(spark):
     assert ranked == ["main.py", "src/f0.py", "src/f1.py", "src/f2.py", "x/f0.py"]
 
 
+def test_large_repo_query_keeps_300(spark, tmp_path):
+    import __spark_entry__ as e
+
+    t = dt.datetime(2025, 1, 1)
+    rows = [(p, f"src/f{i:03}.py", "python", t) for p, n in (("big", 350), ("mid", 150), ("small", 3)) for i in range(n)]
+    spark.createDataFrame(rows, "project_id string, file_path string, language string, ingested_at timestamp_ntz").write.parquet(str(tmp_path / "source_files.parquet"))
+    got = {r["project_id"]: (r["n"], r["last"]) for r in e.queries()["large_repo_cap"](spark, str(tmp_path)).groupBy("project_id").agg(F.count("*").alias("n"), F.max("file_path").alias("last")).collect()}
+    assert got == {"big": (300, "src/f299.py"), "mid": (150, "src/f149.py"), "small": (3, "src/f002.py")}
+
+
 def test_ignore_patterns(spark):
     lines = ["# comment", "*.log", "/build/", "docs/**/x.md", "!keep.log", "temp"]
     paths = {"a.log": True, "b/keep.log": False, "build/x": True, "src/build/x": False, "docs/a/b/x.md": True, "temp": True, "a/temp/b": True, "temporal": False}
