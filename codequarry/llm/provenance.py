@@ -182,7 +182,7 @@ def _vector(prefix: str) -> list[Column]:
     return [F.col(f"{prefix}{i}") for i in range(len(LABELS))]
 
 
-def classify_files(chunks: DataFrame, upstream: DataFrame, max_depth: int = 12) -> DataFrame:
+def classify_files(chunks: DataFrame, upstream: DataFrame) -> DataFrame:
     """project_id, file_path, label, confidence of every file in ``chunks``.
 
     Evidence of a file: marks in its leading comment, dense lines, runs of data, series of counted
@@ -191,13 +191,12 @@ def classify_files(chunks: DataFrame, upstream: DataFrame, max_depth: int = 12)
     directories at a time, so that a file's label also follows from its directory and its siblings.
     Messages of a directory's entries are summed by partial aggregation: no directory is collected.
 
-    Directories deeper than ``max_depth`` count as their ancestor at that depth.  The newest row of a
-    chunk_id counts; null and empty texts add no evidence; rows with a null project or path are left
+    There is a step up and down for each level of directories present.  The newest row of a chunk_id counts; null and empty texts add no evidence; rows with a null project or path are left
     out; an empty table gives no rows; ties go to the first of LABELS.
     """
     files = file_evidence(chunks, upstream)
     parts = F.split("file_path", "/")
-    depth = F.least(F.size(parts) - 1, F.lit(max_depth))
+    depth = F.size(parts) - 1
     own = _own(files)
     files = cut_lineage(files.select("project_id", "file_path", F.concat_ws("/", F.slice(parts, 1, F.greatest(depth, F.lit(0)))).alias("dir"), depth.alias("depth"), *[c.cast("double").alias(f"o{i}") for i, c in enumerate(own)]))
     up = [f"u{i}" for i in range(len(LABELS))]

@@ -247,3 +247,14 @@ def test_provenance(spark):
     assert {k: v for k, v in got.items() if v != "handwritten"} == {"src/c.py": "generated", "vendor/lib/d.py": "vendored", "src/f.js": "minified", "src/g.js": "blob", "deep/h.py": "vendored", "src/k.java": "generated"}
     assert provenance.classify_files(chunks.limit(0), upstream).count() == 0
     assert provenance.classify_files(chunks, upstream.limit(0)).count() == len(texts)
+
+
+def test_provenance_of_deep_directories(spark):
+    deep = "/".join(f"d{i}" for i in range(14))
+    code = "function total(rows) {\n  // sum of the amounts that are still open\n  return rows.reduce((a, r) => a + r.amount, 0);\n}\n"
+    at = dt.datetime(2025, 1, 1)
+    rows = [(f"c{i}", "p", f"{deep}/{d}/f{i}.js", "javascript", 0, at, code.replace("total", f"total{i}")) for i, d in enumerate(["node_modules/pkg"] * 3 + ["src/own"] * 3)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, project_id string, file_path string, language string, chunk_index int, ingested_at timestamp_ntz, text string")
+    upstream = spark.createDataFrame([], "upstream_id long, package_name string, version string, file_name string, language string, text string")
+    got = {r["file_path"].split("/")[14]: r["label"] for r in provenance.classify_files(chunks, upstream).collect()}
+    assert got["node_modules"] != "handwritten" and got["src"] == "handwritten"
