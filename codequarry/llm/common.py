@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
 from functools import reduce
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,15 +48,57 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the cluster names; a folder of our own only where none is set."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one the session names (``spark.checkpoint.dir``).
+
+    Where none is named, a local session (as in tests) gets a folder of its own; on a cluster, where
+    executors couldn't see it, that is an error."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
+    folder = context.getCheckpointDir()
+    if folder:
+        return folder
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    context.setCheckpointDir(named)
+    return context.getCheckpointDir()
 
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint of a small or row-wise read table (Spark removes its files with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, which ``session()`` sets)."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+_written: list[str] = []
+
+
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet beside the checkpoints and read again: lineage is cut, columns are read one by
+    one and, with ``by``, so are the parts of a low-cardinality column.  ``release()`` removes the files."""
+    spark = df.sparkSession
+    folder = checkpoint_folder(spark)
+    path = f"{folder if ':/' in folder else 'file://' + folder}/table-{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Removes the tables of ``stored()``; results that still read them can't be read afterwards."""
+    while _written:
+        files, path = pyarrow.fs.FileSystem.from_uri(_written.pop())
+        files.delete_dir(path)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    try:
+        release()
+    except (OSError, ValueError, NotImplementedError):  # removed before, or of a file system that only Spark can reach
+        pass

@@ -110,7 +110,7 @@ def p9_selection(spark, d):
 
 def p10_subjects(spark, d):
     documents = table(spark, d, "documents")
-    return subjects.SubjectModel(documents, table(spark, d, "subject_labels")).assign(documents)
+    return subjects.SubjectModel(documents, table(spark, d, "subject_labels")).assign()
 
 
 def p10_found(spark, d):
