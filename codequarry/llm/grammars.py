@@ -21,6 +21,7 @@ import re
 import warnings
 from collections import Counter
 from functools import lru_cache
+from itertools import islice
 
 import regex
 
@@ -50,7 +51,8 @@ class Roles:
 
     def __getitem__(self, name: str) -> str:
         bit = 1 << self.names.index(name)
-        return "[" + "".join(self.char(m) for m in range(1 << len(self.names)) if m & bit) + "]"
+        # numbers that have the bit come in runs of its size
+        return "[" + "".join(f"{self.char(m)}-{self.char(m + bit - 1)}" for m in range(bit, 1 << len(self.names), 2 * bit)) + "]"
 
 
 def seq(item: str, sep: str = ",") -> str:
@@ -73,14 +75,27 @@ class Rules(dict):
         return regex.compile(f"(?:{pattern})\\Z(?(DEFINE){''.join(self.parts)})").match
 
 
+_ALIKE = re.compile("(?<![^,])((?:\\+?[1\"k]|[\ue000-\uefff]),)\\1+")
+
+
+_LAST: dict[str, list] = {}
+
+
 class BracketGrammar:
     """Scanner, newline rule and role expressions of one language."""
 
-    def __init__(self, scanner, kinds, keywords, newlines, roles, named, rules, program, angle=None):
+    def __init__(self, scanner, kinds, keywords, newlines, roles, named, rules, program, angle=None, never=None):
+        self.never = re.compile(never).search if never else lambda s: None
         self.scan = re.compile(scanner, re.S).finditer
+        self.last = _LAST.setdefault(scanner, [None, None])  # grammars with the same scanner read a text once
         self.kinds, self.keywords, self.newlines = kinds, keywords, newlines
         self.roles = roles
-        self.rules = {k: [(1 << roles[k].names.index(n), self.listed(named.compile(p)) if n in ("block", "class") else named.compile(p)) for n, p in rs.items()] for k, rs in rules.items()}
+        made = {k: {n: self.listed(named.compile(p)) if n in ("block", "plain", "class") else named.compile(p) for n, p in rs.items()} for k, rs in rules.items()}
+        if "plain" in made["{"]:
+            made["{"]["plain"] = self.outside(made["{"]["block"], made["{"]["plain"])
+        bit = lambda k, n: 1 << roles[k].names.index(n)
+        #: (bit of the role, match of the content, bits that the content must have already)
+        self.rules = {k: [(bit(k, n), m, {"plain": bit(k, "block"), "turn": bit(k, "switch")}.get(n, 0) if k == "{" and "plain" in ms else 0) for n, m in ms.items()] for k, ms in made.items()}
         self.program = self.listed(named.compile(program))
         self.angle = re.compile(angle) if angle else None
         self.group = re.compile(r"\(([^][(){}]*)\)|\[([^][(){}]*)\]|\{([^][(){}]*)\}")
@@ -92,42 +107,79 @@ class BracketGrammar:
         every part up to a terminator is matched, and remembered, by itself; where a terminator
         belongs to the inside of a statement, the whole decides."""
         known: dict = {}
+        head = self.roles["("].char(0) + "-" + self.roles["("].char((1 << len(self.roles["("].names)) - 1)
+        split = re.compile(rf"(?:[^;\n]|(?<=[jwl][{head}])\n(?!\n))*[;\n]+|[^;\n]+").findall  # a line end behind if (..) is inside
 
-        def parts(body: str) -> bool:
-            for part in re.findall(r"[^;\n]*[;\n]+|[^;\n]+", body):
+        def alone(body: str) -> bool:
+            for part in split(body):
                 good = known.get(part)
                 if good is None:
                     good = bool(match(part))
                     if len(known) < MEMO_LIMIT:
                         known[part] = good
                 if not good:
-                    return bool(match(body))
+                    return False
             return True
 
+        def parts(body: str) -> bool:
+            return alone(body) or bool(match(body))
+
+        parts.alone = alone
         return parts
 
-    def lex(self, text: str) -> str:
-        out, kinds, keywords, end = [], self.kinds, self.keywords, 0
-        for m in self.scan(text):
+    def outside(self, block, plain):
+        """Whether a block is one outside of functions: without return, in it and in the blocks of its statements."""
+        b = self.roles["{"]
+        bits = {n: 1 << b.names.index(n) for n in ("block", "plain")}
+        inner = re.compile("[" + "".join(b.char(m) for m in range(1 << len(b.names)) if m & bits["block"] and not m & bits["plain"]) + "]").search
+
+        def run(body: str) -> bool:
+            if "R" in body:
+                return False
+            return not inner(body) or plain.alone(body) or (not block.alone(body) and plain(body))
+
+        return run
+
+    def lex(self, text: str, most: int | None = None) -> str:
+        """One character for each token (of the first ``most``)."""
+        if self.last[0] != (text, most):
+            self.last[:] = [(text, most), None]
+            self.last[1] = self._tokens(text, most)
+        if self.last[1] is None:
+            raise LexError(text)
+        kinds, words, templates = self.last[1]
+        for t in templates:
+            self.template(t)
+        out, keywords = kinds.copy(), self.keywords
+        for place, word in words:
+            if word in keywords:
+                out[place] = keywords[word]
+        return "".join(out)
+
+    def _tokens(self, text: str, most: int | None) -> tuple[list[str], list[tuple[int, str]], list[str]]:
+        """(characters of the tokens, places of words and the words, template literals)."""
+        out, words, templates, kinds, end = [], [], [], self.kinds, 0
+        for m in self.scan(text) if most is None else islice(self.scan(text), most):
             if m.start() != end:
                 raise LexError(text[end : m.start()])
             end = m.end()
             kind = m.lastgroup
             if kind == "word":
-                out.append(keywords.get(m[0], "i"))
+                words.append((len(out), m[0]))
+                out.append("i")
             elif kind == "punct":
                 out.append(kinds.get(m[0]) or m[0])
             elif kind == "note":
                 if "\n" in m[0]:
                     out.append("\n")
             elif kind == "tmpl":
-                self.template(m[0])
+                templates.append(m[0])
                 out.append("`")
             elif kind != "space":
                 out.append(kinds[kind])
-        if end != len(text):
+        if end != len(text) and most is None:
             raise LexError(text[end:])
-        return "".join(out)
+        return out, words, templates
 
     def template(self, text: str) -> None:
         """The parts of a template literal in ${ } have to be expressions."""
@@ -151,8 +203,10 @@ class BracketGrammar:
         char = self.memo.get(whole)
         if char is None:
             kind, body, has = whole[0], self.angles(whole[1:-1]), 0
-            for bit, match in self.rules[kind]:
-                if match(body):
+            if kind != "{" and len(body) > 100:  # equal elements of a long list, each a literal or a bracket group, count once
+                body = _ALIKE.sub(r"\1", body)
+            for bit, match, after in self.rules[kind]:
+                if has & after == after and match(body):
                     has |= bit
             char = self.roles[kind].char(has) if has else "\0"
             if len(self.memo) < MEMO_LIMIT:
@@ -168,8 +222,12 @@ class BracketGrammar:
         return self.angles(s)
 
     def accepts(self, text: str) -> bool:
+        text = text.removeprefix("﻿")
         try:
-            s = self.reduce(self.newlines(self.lex(text.removeprefix("﻿"))))
+            # most texts of another language show it by their first tokens
+            if self.never(self.lex(text, 120)) or self.never(s := self.lex(text)):
+                return False
+            s = self.reduce(self.newlines(s))
         except (LexError, RecursionError):
             return False
         return "\0" not in s and bool(self.program(s))
@@ -184,7 +242,7 @@ _SPACE = r"(?P<space>[ \t\r\f\v ﻿  ]+)"
 
 
 def _ecma(ts: bool) -> BracketGrammar:
-    P, S, B = Roles(0xE000, "args expr params for type"), Roles(0xE100, "array index empty type"), Roles(0xE200, "block object class switch names shape enum")
+    P, S, B = Roles(0xE000, "args expr params for type"), Roles(0xE100, "array index empty type"), Roles(0xE200, "block object class switch names shape enum plain turn")
     named = Rules()
     scanner = (
         r"(?P<nl>\n[\s]*)|" + _SPACE + "|" + _NOTE + r"|(?P<bang>\A#![^\n]*)"
@@ -199,16 +257,18 @@ def _ecma(ts: bool) -> BracketGrammar:
         r"|(?P<punct>=>|\.\.\.|\?\?=|&&=|\|\|=|\*\*=|\*\*|===|!==|==|!=|<=|>=|<<=|<<|&&|\|\||\?\?|\+\+|--|[-+*/%&|^]=|[-+*/%&|^!~<>=?:,;(){}\[\]])"
     )
     kinds = {"num": "1", "str": '"', "regex": "/", "deco": "@", "nl": "\n", "member": ".", "skip": "", "bang": "", "-": "+", "~": "!", "&": "|", "++": "%", "--": "%", "=>": "→", "...": "&", "/": "^", "%": "^"}
-    kinds |= {k: "^" for k in "?? ??= &&= ||= **= ** === !== == != <= >= <<= << && || -= += *= /= %= &= |= ^=".split()} | {"^": "^"}
+    kinds |= {k: "^" for k in "?? ** === !== == != <= >= << && ||".split()} | {"^": "^"} | {k: "≔" for k in "??= &&= ||= **= <<= -= += *= /= %= &= |= ^=".split()}
     keywords = _words("""
 k this super null true false
-v var let const
+v var let
+ç const
 f function
 c class
 x extends
 R return
 q throw
-j if while with
+j if
+w while with
 l for
 e else
 d do
@@ -245,11 +305,11 @@ P implements
     def newlines(s: str) -> str:
         s = re.sub(r"(?<=[Rb])\n+", ";", s)
         s = re.sub(r"(?<=\))\n+(?=\{)|(?<=ci)\n+(?=\{)", "", s)
-        return re.sub(r"\n+(?=[.,;:?)\]}=^*|#<>→&(`+ehz\n])|(?<=[({\[,;:?=^*|#<>→!+&@xVuecCWjlqmAyzhvf\n])\n+", "", s).strip("\n")
+        return re.sub(r"\n+(?=[.,;:?)\]}=≔^*|#<>→&(`+ehz\n])|(?<=[({\[,;:?=≔^*|#<>→!+&@xVuecCWjwldqmAyzhvçf\n])\n+", "", s).strip("\n")
 
     W, I = "[A-Za-z#]", "[iaogSFATMKXUP]" if ts else "[iaogSFA]"
     gen = "‹?" if ts else ""
-    named["prim_type"] = rf"(?:(?:[KuMaV]|‹)*(?:(?:{W}(?:\.)*|m{P['args']}\.*)‹?|[k\"1`]|\+1|v|{P['type']}(?:→)?|{S['type']}|{B['shape']})(?:\n?(?:{S['empty']}|{S['index']}))*+→?)"
+    named["prim_type"] = rf"(?:(?:[KuMaV]|‹)*(?:(?:{W}(?:\.)*|m{P['args']}\.*)‹?|[k\"1`]|\+1|[vç]|{P['type']}(?:→)?|{S['type']}|{B['shape']})(?:\n?(?:{S['empty']}|{S['index']}))*+→?)"
     prim_type = named["prim_type"]
     named["TYPE"] = rf"(?:\|?{prim_type}+(?:\|{prim_type}+)*(?:x{prim_type}(?:\|{prim_type})*\?{prim_type}(?:\|{prim_type})*:{prim_type}(?:\|{prim_type})*)*)"
     TYPE = named["TYPE"]
@@ -265,38 +325,50 @@ P implements
     prim = named["prim"]
     named["post"] = rf"(?:\.|{P['args']}|\n?{S['index']}|`" + (rf"|‹(?=[`]|{P['args']})|!(?![{I[1:-1]}k1\"])" if ts else "") + ")*+%?"
     post = named["post"]
-    casts = rf"(?:A(?:v|{TYPE}))*" if ts else ""
-    named["operand"] = rf"(?:(?:[u!+%V]|Y\*?|{arrow})*{prim}{post}{casts})"
+    casts = rf"(?:A(?:[vç]|{TYPE}))*" if ts else ""
+    named["operand"] = rf"(?:(?:[u!+%V]|Y\*?)*{prim}{post}{casts})"
     operand = named["operand"]
-    named["chain"] = rf"{operand}(?:(?:>+\^?|[\^*+|#=<]){operand})*"
+    named["chain"] = rf"{operand}(?:(?:>+\^?|[\^*+|#<]){operand})*"
     chain = named["chain"]
-    named["EXPR"] = rf"(?:{chain}(?:(?:\?{chain})+(?::{chain})+)*)"
-    EXPR = named["EXPR"]
-    EXPRS = seq1(EXPR)
     named["bind"] = rf"(?:{I}|{B['object']}|{S['array']})"
     bind = named["bind"]
+    # what can be assigned to: a name, a pattern, something in brackets, a member or an element
+    named["target"] = rf"(?:(?:{bind}|{P['expr']}){'!?' if ts else ''}(?=[=≔>])|V*{prim}{post}(?<=[.!]|{S['index']}))"
+    target = named["target"]
+    named["EXPR"] = rf"(?:(?:{arrow}|Y\*?|{target}(?:[=≔]|>+\^))*{chain}(?:\?(?&EXPR):(?&EXPR))?)"
+    EXPR = named["EXPR"]
+    EXPRS = seq1(EXPR)
     named["decl"] = rf"{bind}{'!?' if ts else ''}{TA}(?:={EXPR})?"
     decl = named["decl"]
-    END = r"(?:;|\n|\Z)"
+    named["constant"] = rf"{bind}{TA}={EXPR}" + (rf"|{I}:{TYPE}" if ts else "")  # only a typed one may be declared elsewhere
+    named["vars"] = rf"(?:v{seq1(decl)}|ç{seq1(named['constant'])})"
+    vars_ = named["vars"]
+    END = r"(?:;|\n|\Z|(?=e))"
     spec_from = r'F"(?:[#A]' + B["object"] + ")?"
     named["imports"] = rf"m(?:\"|(?:T(?!F))?(?:{I}(?:,(?:{B['names']}|\*A{I}))?|{B['names']}|\*A{I}){spec_from}){END}"
     imports = named["imports"]
     named["fdecl"] = rf"a?f\*?{I}{GP}{TA}(?:{B['block']}" + (f"|{END}" if ts else "") + ")"
     fdecl = named["fdecl"]
-    named["typed"] = rf"T*X{I}‹?(?:x{TYPE}(?:,{TYPE})*)?{B['shape']}|T+{I}‹?={TYPE}{END}|T*v?U{I}{B['enum']}|T+(?:{I}\.*|\"){B['block']}|T+(?:v{I}{TA}{END}|{fdecl}|M*{cls})|M+{cls}" if ts else "(?!)"
+    named["typed"] = rf"T*X{I}‹?(?:x{TYPE}(?:,{TYPE})*)?{B['shape']}|T+{I}‹?={TYPE}{END}|T*[vç]?U{I}{B['enum']}|T+(?:{I}\.*|\"){B['block']}|T+(?:[vç]{I}{TA}{END}|{fdecl}|M*{cls})|M+{cls}" if ts else "(?!)"
     typed = named["typed"]
-    named["exports"] = rf"E(?:D(?:{func}|{'M*' if ts else ''}{cls}|{EXPR}{END}" + (rf"|X{I}‹?(?:x{TYPE})?{B['shape']}" if ts else "") + rf")|T?{B['names']}(?:{spec_from})?{END}|T?\*(?:A{W})?{spec_from}{END}|v{seq1(decl)}{END}|{fdecl}|{cls}|" + typed + (f"|={EXPR}{END}" if ts else "") + ")"
+    named["exports"] = rf"E(?:D(?:{func}|{'M*' if ts else ''}{cls}|{EXPR}{END}" + (rf"|X{I}‹?(?:x{TYPE})?{B['shape']}" if ts else "") + rf")|T?{B['names']}(?:{spec_from})?{END}|T?\*(?:A{W})?{spec_from}{END}|{vars_}{END}|{fdecl}|{cls}|" + typed + (f"|={EXPR}{END}" if ts else "") + ")"
     exports = named["exports"]
-    named["simple"] = (
-        rf"(?:[;\n]|v{seq1(decl)}{END}|{fdecl}|(?:@{P['args']}?\n?)*(?:{cls}|{exports})|R(?:{EXPRS})?{END}|q{EXPRS}{END}|b{I}?{END}"
-        rf"|y{B['block']}(?:h(?:{P['params']})?{B['block']}(?:z{B['block']})?|z{B['block']})|W{P['expr']}{B['switch']}|{imports}|{typed}|{EXPRS}{END}|{B['block']})"
-    )
-    simple = named["simple"]
-    prefix = rf"(?:j{P['expr']}(?:\n|\Z)?|lu?{P['for']}\n?|e|d|{I}:\n?)"
-    named["stmt"] = rf"(?:{prefix}*+{simple}|j{P['expr']}\Z)"
-    stmt = named["stmt"]
-    named["LIST"] = rf"\n*+(?:{stmt}\n*+)*"
-    LIST = named["LIST"]
+
+    def statements(name: str, block: str, switch: str, returns: str) -> tuple[str, str]:
+        named[f"simple{name}"] = (
+            rf"(?:;|{vars_}{END}|{fdecl}|(?:@{P['args']}?\n?)*(?:{cls}|{exports}){returns}|q{EXPRS}{END}|b{I}?{END}"
+            rf"|y{block}(?:h(?:{P['params']})?{block}(?:z{block})?|z{block})|W{P['expr']}{switch}|{imports}|{typed}|{EXPRS}{END}|{block})"
+        )
+        again = f"(?&stmt{name})"
+        named[f"stmt{name}"] = (
+            rf"(?:j{P['expr']}\n?{again}(?:\n*e\n?{again})?|w{P['expr']}\n?{again}|lu?{P['for']}\n?{again}|d\n?{again}\n*w{P['expr']};?|{I}:\n?{again}|{named[f'simple{name}']})"
+        )
+        named[f"LIST{name}"] = rf"\n*+(?:{named[f'stmt{name}']}\n*+)*"
+        return named[f"stmt{name}"], named[f"LIST{name}"]
+
+    # in functions, and outside of them where there is no return
+    _, LIST = statements("", B["block"], B["switch"], rf"|R(?:{EXPRS})?{END}")
+    _, TOP = statements("top", B["plain"], B["turn"], "")
     named["key"] = rf"(?:{W}|[\"1]|{S['index']})"
     key = named["key"]
     named["prop"] = rf"(?:&{EXPR}|{key}:{EXPR}|[ag]*\*?{key}{GP}{TA}{B['block']}|{I}(?:={EXPR})?)"
@@ -309,11 +381,11 @@ P implements
     member = named["member"]
     named["shape"] = rf"(?:(?:\+?M)*(?:[gS]*{key}\??(?:{GP})?(?::{TYPE})?|V?{GP}(?::{TYPE})?|{S['type']}\+?\??(?::{TYPE})?))"
     shape = named["shape"]
-    case = rf"(?:\n*+(?:C{EXPRS}|D):{LIST})*"
+    case = lambda listed: rf"(?:\n*+(?:C{EXPRS}|D):{listed})*"
     rules = {
-        "(": {"args": seq(f"&?{EXPR}"), "expr": EXPRS, "params": seq(param), "for": rf"(?:v{seq1(decl)}|{EXPRS})?;(?:{EXPRS})?;(?:{EXPRS})?|v?{bind}[o#]{EXPRS}|{operand}[o#]{EXPRS}"},
+        "(": {"args": seq(f"&?{EXPR}"), "expr": EXPRS, "params": seq(param), "for": rf"(?:[vç]{seq1(decl)}|{EXPRS})?;(?:{EXPRS})?;(?:{EXPRS})?|[vç]?{bind}[o#]{EXPRS}|{operand}[o#]{EXPRS}"},
         "[": {"array": rf"(?:,|&?{EXPR}(?:,|\Z))*", "index": EXPRS, "empty": ""},
-        "{": {"block": LIST, "object": seq(prop), "class": rf"\n*+(?:{member}\n*+)*", "switch": case, "names": seq(rf"(?:T(?!A))?(?:{W}|\")(?:A(?:{W}|\"))?")},
+        "{": {"block": LIST, "plain": TOP, "object": seq(prop), "class": rf"\n*+(?:{member}\n*+)*", "switch": case(LIST), "turn": case(TOP), "names": seq(rf"(?:T(?!A))?(?:{W}|\")(?:A(?:{W}|\"))?")},
     }
     if ts:
         rules["("]["type"] = rf"{seq(param)}|{TYPE}"
@@ -323,7 +395,8 @@ P implements
     if ts:
         priv = "-"
         angle = rf"(?:(?<=[A-Za-z.])|(?<=[=(,:;→{priv}])|^)<(?:[A-Za-z.,|‹=k\"1?:→`\n{priv}])+>(?![iaogSFTMXUk1\"])"
-    return BracketGrammar(scanner, kinds, keywords, newlines, {"(": P, "[": S, "{": B}, named, rules, LIST, angle)
+    # two names, or a name and a literal, never follow each other on a line
+    return BracketGrammar(scanner, kinds, keywords, newlines, {"(": P, "[": S, "{": B}, named, rules, TOP, angle, never=r'i[i1"]' if ts else r'i[i1"cf]')
 
 
 def _java() -> BracketGrammar:
@@ -338,7 +411,7 @@ def _java() -> BracketGrammar:
         r"|(?P<punct>->|\.\.\.|<<=|==|!=|<=|>=|<<|&&|\|\||\+\+|--|[-+*/%&|^]=|[-+*/%&|^!~<>=?:,;(){}\[\]])"
     )
     kinds = {"num": "1", "str": '"', "member": ".", "deco": "@", "seal": "M", "atint": "c", "skip": "", "-": "+", "~": "!", "&": "|", "++": "%", "--": "%", "->": "→", "...": "&", "/": "^", "%": "^", "*": "^"}
-    kinds |= {k: "^" for k in "<<= == != <= >= << && || -= += *= /= %= &= |= ^= ^".split()}
+    kinds |= {k: "^" for k in "== != <= >= << && || ^".split()} | {k: "≔" for k in "<<= -= += *= /= %= &= |= ^=".split()}
     keywords = _words("""
 k this super null true false
 p int long double float boolean byte short char void
@@ -351,7 +424,8 @@ m import
 Q package
 R return
 q throw
-j if while
+j if
+w while
 l for
 e else
 d do
@@ -385,10 +459,15 @@ g record sealed permits yield when var
     pattern = named["pattern"]
     named["operand"] = rf"(?:(?:[!+%]|{P['type']}(?=[ig k1\"!V-W]|p)|{arrow})*{prim}{post}{pattern})"
     operand = named["operand"]
-    named["chain"] = rf"{operand}(?:(?:>+\^?|[\^+|=<]){operand})*"
+    named["chain"] = rf"{operand}(?:(?:>+\^?|[\^+|<]){operand})*"
     chain = named["chain"]
-    named["EXPR"] = rf"(?:{chain}(?:(?:\?{chain})+(?::{chain})+)*)"
+    named["target"] = rf"(?:{prim}{post}(?<=[ig.]|{S['index']})|{P['expr']}(?=[=≔>]))"
+    target = named["target"]
+    SET = r"(?:[=≔]|>+\^)"
+    named["EXPR"] = rf"(?:(?:{target}{SET}|{arrow})*{chain}(?:\?(?&EXPR):(?&EXPR))?)"
     EXPR = named["EXPR"]
+    named["effect"] = rf"(?:{target}{SET}{EXPR}|%+{operand}|{operand}(?<=%|{P['args']}|{B['class']}))"  # an expression that may be a statement
+    effect = named["effect"]
     EXPRS = seq1(EXPR)
     named["init"] = rf"(?:{EXPR}|{B['array']})"
     init = named["init"]
@@ -403,10 +482,10 @@ g record sealed permits yield when var
     named["simple"] = (
         rf"(?:;|{decl};|{MOD}{classes}|R(?:{EXPR})?;|q{EXPR};|b{I}?;|g{EXPR};|u{EXPR}(?::{EXPR})?;"
         rf"|y(?:{P['resources']}{B['block']}(?:h{P['params']}{B['block']})*(?:z{B['block']})?|{B['block']}(?:(?:h{P['params']}{B['block']})+(?:z{B['block']})?|z{B['block']}))"
-        rf"|W{P['expr']}{B['switch']}|Y{P['expr']}{B['block']}|{EXPR};|{B['block']})"
+        rf"|W{P['expr']}{B['switch']}|Y{P['expr']}{B['block']}|{effect};|{B['block']})"
     )
     simple = named["simple"]
-    named["stmt"] = rf"(?:(?:j{P['expr']}|l{P['for']}|e|d|{I}:)*+{simple})"
+    named["stmt"] = rf"(?:j{P['expr']}(?&stmt)(?:e(?&stmt))?|w{P['expr']}(?&stmt)|l{P['for']}(?&stmt)|d(?&stmt)w{P['expr']};|{I}:(?&stmt)|{simple})"
     stmt = named["stmt"]
     named["LIST"] = rf"(?:{stmt})*"
     LIST = named["LIST"]
@@ -423,7 +502,7 @@ g record sealed permits yield when var
     program = rf"(?:{note}Q{I}\.*;)?(?:;|m[M]?{I}\.*;)*(?:;|{MOD}{classes})*"
     priv = "-"
     angle = rf"<(?:[igpk.,?x|‹@{priv}])*>(?![1\"k])"
-    return BracketGrammar(scanner, kinds, keywords, lambda s: s.replace("\n", ""), {"(": P, "[": S, "{": B}, named, rules, program, angle)
+    return BracketGrammar(scanner, kinds, keywords, lambda s: s.replace("\n", ""), {"(": P, "[": S, "{": B}, named, rules, program, angle, never=r'\A\n*[^@QmMYDcUg;\n]|i["1]|m[^iMg\n]')
 
 
 def _go() -> BracketGrammar:
@@ -514,7 +593,7 @@ g go defer
         "{": {"block": LIST, "struct": seq(field, ";"), "interface": seq(rf"(?:i{P['params']}{RES}|{union})", ";"), "literal": seq(rf"(?:{value}:)?{value}"), "switch": rf"(?:(?:C{seq1(rf'(?:{EXPR}|{TY})')}|D):{LIST})*", "select": rf"(?:(?:C{simple}|D):{LIST})*"},
     }
     program = rf";*Qi(?:;+m(?:{spec}|{P['imports']}))*(?:;+(?:{func}|v(?:{var}|{P['vars']})|T(?:{tdecl}|{P['types']})))*;*"
-    return BracketGrammar(scanner, kinds, keywords, newlines, {"(": P, "[": S, "{": B}, named, rules, program)
+    return BracketGrammar(scanner, kinds, keywords, newlines, {"(": P, "[": S, "{": B}, named, rules, program, never=r"\A[\n;]*[^Q\n;]")
 
 
 @lru_cache(maxsize=None)
@@ -586,12 +665,12 @@ def rank_languages(text: str) -> list[str]:
     return sorted(LANGUAGES, key=lambda k: (-score[k], LANGUAGES.index(k)))
 
 
-def examine(language: str, text: str) -> tuple[bool, str | None]:
-    """(parses in the language given, the best ranked other language that accepts the text or None)."""
-    if parses(language, text):
-        return True, None
-    if text.strip():
-        for other in rank_languages(text):
-            if other != language and parses(other, text):
-                return False, other
-    return False, None
+def examine(language: str, text: str) -> tuple[bool, list[str]]:
+    """(parses in the language given, all languages whose grammar accepts the text, best ranked first).
+
+    Every text is parsed by every grammar; one without any word is looked at in the language given only."""
+    if not text.strip():
+        good = parses(language, text)
+        return good, [language] * good
+    accepting = [other for other in rank_languages(text) if parses(other, text)]
+    return language in accepting, accepting

@@ -12,20 +12,19 @@ from codequarry.llm import grammars
 from codequarry.llm.common import columns_or_null, newest, struct_of
 
 
-@F.pandas_udf(struct_of(parses="boolean", parses_as="string"))
+@F.pandas_udf(struct_of(**{"parses": "boolean", "parses_as": "array<string>"}))
 def _examine(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for languages, texts in parts:
         rows = [(None, None) if language not in grammars.LANGUAGES or text is None else grammars.examine(language, text) for language, text in zip(languages, texts)]
-        yield pd.DataFrame({"parses": pd.array([r[0] for r in rows], dtype="boolean"), "parses_as": pd.array([r[1] for r in rows], dtype="string")})
+        yield pd.DataFrame({"parses": pd.array([r[0] for r in rows], dtype="boolean"), "parses_as": [r[1] for r in rows]})
 
 
 def check_syntax(modules: DataFrame, source_files: DataFrame) -> DataFrame:
     """One row for each (project_id, file_path) of ``modules``: language, status, parses_as.
 
-    Every file is parsed in the language given (where that is null, in the one its path's ending
-    stands for).  A file that fails is parsed by the other grammars in the order of a ranking by
-    tokens: if one accepts it, the ending is wrong (``parses_as`` names the language), otherwise
-    the file is corrupt.
+    Every file is parsed by all grammars, in the order of a ranking by tokens; ``parses_as`` lists those that
+    accept it, best ranked first.  Its language is the one given (where that is null, the one its path's
+    ending stands for): if that isn't among them but another is, the ending is wrong; if none is, the file is corrupt.
 
     Status: ``ok``, ``wrong_language``, ``corrupt``; ``unsupported`` for a language without a
     grammar; ``missing`` where there is no content (no row in ``source_files``, or null content).
@@ -41,7 +40,7 @@ def check_syntax(modules: DataFrame, source_files: DataFrame) -> DataFrame:
     found = m.join(s, ["project_id", "file_path"], "left").withColumn("_r", _examine("language", "content"))
     status = (
         F.when(F.col("content").isNull(), "missing").when(F.col("_r.parses").isNull(), "unsupported").when(F.col("_r.parses"), "ok")
-        .when(F.col("_r.parses_as").isNotNull(), "wrong_language").otherwise("corrupt")
+        .when(F.size("_r.parses_as") > 0, "wrong_language").otherwise("corrupt")
     )
     return found.where("project_id is not null and file_path is not null").select("project_id", "file_path", "language", status.alias("status"), F.col("_r.parses_as").alias("parses_as"))
 

@@ -10,7 +10,8 @@ GOOD = {
         "", "import a, { b as c } from './x.js';\nexport default class A extends B {\n  #p = 1;\n  static async *gen() { yield* this.x; }\n  get y() { return `a${b(1)}c`; }\n}\n",
         "for (const [k, v] of Object.entries(o)) { if (!v) continue; else x[k] ??= v ** 2 }", "const f = async ({ a = 1, ...rest }, [b]) => ({ a, rest, [b]: /x[/]y/gi.test(a) ? 1 : 2 })",
         "label: do { i++ } while (i < 3)\nswitch (x) { case 1: case 2: y(); break; default: z() }", "try { a?.b?.[c]?.(d) } catch { e } finally { f }", "a = b\n(c || d).e()\nvar g = function* () {}, h = new Foo\nexport { g as default, h }",
-        "!function(){return 1}(),window.x||(window.y=function(a){return a&&a.b})",
+        "!function(){return 1}(),window.x||(window.y=function(a){return a&&a.b})", "x = a ? b ? c : d : e; a.b[c] = d = e; [a, b] = [b, a]; (a.b) = 1; new Foo().bar = 1",
+        "if (a) b\nelse c\nif (a)\n  b();\nelse if (c)\n  d();\nelse {\n e()\n}\ndo a(); while (x)\nb()\nwhile (i--) if (a[i]) break;\n", "const f = a => c ? x => 1 : y => 2, g = (a) => b = a;\nfunction h() { if (x) return 1; else return 2; }",
     ],
     "typescript": [
         "const a = 1", "enum E { A = 1, B = 'x' }\nexport interface I<T> extends J<T> { a?: string; readonly b: number[]; (x: number): void; [k: string]: any; m<U>(u: U): Promise<Map<string, U[]>> }",
@@ -21,6 +22,7 @@ GOOD = {
         "package a.b;\nimport java.util.*;\n@Deprecated\npublic final class A<T extends Comparable<T>> extends B implements C {\n  private static final int[] X = {1, 2};\n  A(int... xs) throws E { this(); }\n  <U> List<Map<String, U>> m(@N final U u) { for (int i = 0, j = 1; i < j; i++) { x(); } return new ArrayList<>(); }\n}",
         "record P(int x, String y) { P { if (x < 0) throw new IllegalArgumentException(); } }\nsealed interface S permits P2 {}\nenum E { A(1) { void f() {} }, B; int v; }",
         'class A { void f(Object o) { if (o instanceof String s && !s.isEmpty()) { var t = """\n a "b" c\n """; } int k = switch (x) { case 1, 2 -> 3; default -> { yield 4; } }; Runnable r = () -> g(A::new, (a, b) -> a + b); try (var c = open()) { } catch (IOException | Error e) { } finally { } } }',
+        "class A { int f() { if (x) return 1; else if (y) return 2; do { g(); } while (x); for (String s : t) g(s); x >>= 2; x >>>= 1; a[i++] = b = c; new B() { }; --j; list.forEach(x -> y = x); Object o = (Runnable) () -> g(); return a ? b ? 1 : 2 : 3; } }",
     ],
     "go": [
         'package a\n\nimport (\n\t"fmt"\n\tx "y/z"\n)\n\ntype S[T any] struct {\n\tA, B int `json:"a"`\n\t*E\n}\n\nfunc (s *S[T]) F(a, b int, c ...string) (r map[string][]int, err error) {\n\tif v, ok := m[a]; ok && v > 1 {\n\t\treturn nil, fmt.Errorf("x %w", err)\n\t} else if x {\n\t}\n\tfor i, y := range xs[1:] {\n\t\tdefer func() { ch <- i }()\n\t}\n\tselect {\n\tcase z := <-ch:\n\t\tgo f(z)\n\tdefault:\n\t}\n\tswitch t := v.(type) {\n\tcase int, []string:\n\t}\n\treturn\n}\n',
@@ -30,9 +32,13 @@ GOOD = {
 BAD = {
     "python": ["def f(:\n  pass", "if x\n  y", "<<<<<<< HEAD\nx = 1\n=======\n", "x = 'a"],
     "json": ["", "{'a': 1}", "{\"a\": 1,}", "[NaN]", "{}{}"],
-    "javascript": ["function f( {", "const = 1;", "a b c", "x = 'a", "if (a { b }", "<<<<<<< HEAD\nlet a = 1;\n=======\nlet b;\n>>>>>>> x\n", "let a: number = 1;", "foo(1,,2)", "try { a }", "class A { x( { } }"],
-    "typescript": ["interface I { a: }", "let x: = 1", "def f():\n  pass"],
-    "java": ["class A { void f( { } }", "class A { int x = ; }", "void f() {} class", "class A { void f() { x = 1 } }", "package a; import;"],
+    "javascript": ["function f( {", "const = 1;", "a b c", "x = 'a", "if (a { b }", "<<<<<<< HEAD\nlet a = 1;\n=======\nlet b;\n>>>>>>> x\n", "let a: number = 1;", "foo(1,,2)", "try { a }", "class A { x( { } }",
+        "x = a ? b ? c : d;", "1 = 2;", "1 += 2;", "a + b = c;", "f() = 1;", "const x;", "return 1;", "if (a) { return 1; }", "else { a(); }", "do { a(); }", "function f() { if (x) }", "while (x)",
+    ],
+    "typescript": ["x = a ? b ? c : d;", "1 = 2;", "const x;", "return 1;", "else { a(); }", "interface I { a: }", "let x: = 1", "def f():\n  pass"],
+    "java": ["class A { void f( { } }", "class A { int x = ; }", "void f() {} class", "class A { void f() { x = 1 } }", "package a; import;",
+        "class A { void f() { a + b; } }", "class A { void f() { 1 = 2; } }", "class A { void f() { else { g(); } } }", "class A { void f() { do { g(); } } }", "class A { void f() { if (x) } }", "class A { void f() { x = a ? b ? c : d; } }",
+    ],
     "go": ["package a\nfunc f() {\n", "func f() {}", "package a\nx := 1\n", "package a\nfunc f() { if { } }\n", "package a\nvar x = 'ab'\n"],
 }
 
@@ -57,10 +63,15 @@ def test_every_cut_file_is_broken():
                 assert not grammars.parses(language, text[: i + 1]), text[: i + 1]
 
 
+def test_every_accepting_language_is_listed():
+    assert grammars.examine("python", "a = [1, 2]\n") == (True, ["python", "javascript", "typescript"]) and grammars.examine("go", "[1]")[1][0] == "json"
+    assert grammars.examine("javascript", "const a = 1") == (True, ["javascript", "typescript"])
+
+
 def test_foreign_language_is_named():
-    assert grammars.examine("javascript", "def f(self):\n    return None\n") == (False, "python")
-    assert grammars.examine("python", "package a\n\nfunc f() error {\n\treturn nil\n}\n") == (False, "go")
-    assert grammars.examine("json", "") == (False, None)
+    assert grammars.examine("javascript", "def f(self):\n    return None\n") == (False, ["python"])
+    assert grammars.examine("python", "package a\n\nfunc f() error {\n\treturn nil\n}\n") == (False, ["go"])
+    assert grammars.examine("json", "") == (False, [])
 
 
 MODULES = "project_id string, file_path string, language string, extra int, parses string"
@@ -72,7 +83,7 @@ def test_check_syntax(spark):
     m = spark.createDataFrame([("p", "a.py", None, 1, "x"), ("p", "a.py", None, 1, "x"), ("p", "b.js", "javascript", 1, "x"), ("p", "c.json", "json", None, None), ("p", "d.md", "markdown", 1, ""), ("p", "e.go", "go", 1, ""), (None, "f.py", "python", 1, ""), ("p", "n.py", "python", 1, "")], MODULES)
     s = spark.createDataFrame([("p", "a.py", old, "def f(", "", ""), ("p", "a.py", new, "", "", ""), ("p", "b.js", new, "def f():\n  pass\n", "", ""), ("p", "c.json", None, "{", "", ""), ("p", "d.md", new, "# x", "", ""), ("p", "n.py", new, None, "", "")], SOURCES)
     got = {r["file_path"]: (r["status"], r["parses_as"]) for r in syntax.check_syntax(m, s).collect()}
-    assert got == {"a.py": ("ok", None), "b.js": ("wrong_language", "python"), "c.json": ("corrupt", None), "d.md": ("unsupported", None), "e.go": ("missing", None), "n.py": ("missing", None)}
+    assert got == {"a.py": ("ok", ["python"]), "b.js": ("wrong_language", ["python"]), "c.json": ("corrupt", []), "d.md": ("unsupported", None), "e.go": ("missing", None), "n.py": ("missing", None)}
     rates = {r["language"]: (r["files"], r["broken"], r["broken_rate"]) for r in syntax.broken_rates(syntax.check_syntax(m, s)).collect()}
     assert rates == {"python": (1, 0, 0.0), "javascript": (1, 1, 1.0), "json": (1, 1, 1.0)}
     assert syntax.check_syntax(m.limit(0), s.limit(0)).count() == 0
