@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.llm.common import stored
 from codequarry.llm.tokens import DEFAULT_VOCABULARY, token_count
 
 
@@ -39,63 +40,62 @@ class Bins:
     def _move(self, i: int, a: int, b: int) -> None:
         self.items[a].remove(i)
         self.items[b].append(i)
-        s = int(self.size[i])
-        self.free[a] += s
-        self.free[b] -= s
-
-    def improve(self, rounds: int) -> None:
-        """Moves, one-for-one and two-for-one exchanges that raise the sum of squared fills, out of the
-        emptiest container, until none is left or a container is empty; then the next emptiest."""
-        for _ in range(rounds):
-            under = [b for b in range(len(self.items)) if self.free[b] > 0 and self.items[b]]
-            if len(under) < 2:
-                return
-            under.sort(key=lambda b: -self.free[b])
+        self.bin_of[i] = b
+        self.free[a] += self.size[i]
+        self.free[b] -= self.size[i]
+
+    def improve(self) -> None:
+        """Local search: size is brought out of the emptiest container by moves, one-for-one and two-for-one exchanges,
+        each raising the sum of squared fills, until it is empty or none is left; then out of the next emptiest,
+        and round again until a whole round changes nothing or no packing could do with fewer containers."""
+        bound = -(-int(self.size.sum()) // self.capacity)
+        self.bin_of = np.empty(len(self.size), dtype=np.int64)
+        for b, content in enumerate(self.items):
+            self.bin_of[content] = b
+        self.free = np.array(self.free, dtype=np.int64)
+        live, changed = len(self.items), True
+        while changed and live > bound:
             changed = False
-            a = under[0]  # the one to empty
-            for b in reversed(under[1:]):
-                if not self.items[a]:
-                    break
-                changed |= self._between(a, b)
-            if not changed:
-                return
-
-    def _between(self, a: int, b: int) -> bool:
-        """Brings size from the emptier container a into b by the best exchange; True if there is one."""
-        room = self.free[b]
-        if not room:
+            for a in np.argsort(-self.free, kind="stable").tolist():
+                if live <= bound:
+                    return
+                if not self.items[a] or not self.free[a]:
+                    continue
+                while self.items[a] and self._exchange(a):
+                    changed = True
+                live -= not self.items[a]
+
+    def _exchange(self, a: int) -> bool:
+        """The exchange that brings most size out of ``a``; False if there is none."""
+        fill = self.capacity - self.free
+        mine = sorted(self.items[a], key=lambda i: -self.size[i])
+        best, gain = None, 0
+        # fuller containers with room: what they gain raises the sum of squares
+        open_ = (self.free > 0) & (fill > 0)
+        open_[a] = False
+        for i in mine:
+            fits = np.flatnonzero(open_ & (self.free >= self.size[i]) & (fill + self.size[i] > fill[a]))
+            if len(fits):
+                best, gain = ([i], None, int(fits[self.free[fits].argmin()])), int(self.size[i])
+                break
+        others = np.flatnonzero(open_[self.bin_of])
+        room, sizes, fills = self.free[self.bin_of[others]], self.size[others], fill[self.bin_of[others]]
+        for out in [[i] for i in mine] + [[i, k] for n, i in enumerate(mine) for k in mine[n + 1 :]]:
+            total = int(self.size[out].sum())
+            if total <= gain:
+                continue
+            net = total - sizes
+            net[(net > room) | (fills + net <= fill[a])] = 0
+            j = int(net.argmax()) if len(net) else -1
+            if j >= 0 and net[j] > gain:
+                best, gain = (out, int(others[j]), int(self.bin_of[others[j]])), int(net[j])
+        if best is None:
             return False
-        mine = sorted(self.items[a], key=lambda i: int(self.size[i]))
-        theirs = sorted(self.items[b], key=lambda i: int(self.size[i]))
-        mine_sizes = np.array([self.size[i] for i in mine])
-        best_gain, best = 0, None
-        # move: the largest of a that fits into b
-        k = int(np.searchsorted(mine_sizes, room, side="right")) - 1
-        if k >= 0:
-            best_gain, best = int(mine_sizes[k]), ([mine[k]], [])
-        # one for one
-        for j in theirs:
-            k = int(np.searchsorted(mine_sizes, room + int(self.size[j]), side="right")) - 1
-            if k >= 0 and (gain := int(mine_sizes[k]) - int(self.size[j])) > best_gain:
-                best_gain, best = gain, ([mine[k]], [j])
-        # two of a for one of b
-        if best_gain < room and len(mine) > 1:
-            for j in theirs:
-                most = room + int(self.size[j])
-                for n, i in enumerate(mine[:-1]):
-                    k = int(np.searchsorted(mine_sizes, most - int(self.size[i]), side="right")) - 1
-                    if k > n and (gain := int(self.size[i]) + int(mine_sizes[k]) - int(self.size[j])) > best_gain:
-                        best_gain, best = gain, ([i, mine[k]], [j])
-        if best is None or best_gain <= 0:
-            return False
-        # squared fill grows as size goes from the emptier to the fuller container
-        fill_a, fill_b = self.capacity - self.free[a], self.capacity - self.free[b]
-        if (fill_a - best_gain) ** 2 + (fill_b + best_gain) ** 2 <= fill_a**2 + fill_b**2:
-            return False
-        for j in best[1]:
-            self._move(j, b, a)
-        for i in best[0]:
+        out, back, b = best
+        for i in out:
             self._move(i, a, b)
+        if back is not None:
+            self._move(back, b, a)
         return True
 
     def assignment(self) -> np.ndarray:
@@ -108,24 +108,26 @@ class Bins:
         return out
 
 
-def _pack_block(capacity: int, rounds: int):
+def _pack_block(capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "doc_id", "piece_no"], kind="stable", ignore_index=True)
         bins = Bins(pdf["tokens"].to_numpy(), capacity)
-        bins.improve(rounds)
+        pdf["best_fit"] = bins.assignment()
+        bins.improve()
         pdf["bin"] = bins.assignment()
-        return pdf[["block", "bin", "doc_id", "piece_no", "pieces", "start_token", "tokens"]]
+        return pdf[["block", "bin", "best_fit", "doc_id", "piece_no", "pieces", "start_token", "tokens"]]
 
     return run
 
 
-def pack_documents(documents: DataFrame, capacity: int = 4096, block_items: int = 20_000, rounds: int = 400, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """container_id, doc_id, piece_no, pieces, start_token, tokens: every document in containers of ``capacity`` tokens.
+def pack_documents(documents: DataFrame, capacity: int = 4096, block_items: int = 20_000, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """container_id, best_fit_id, doc_id, piece_no, pieces, start_token, tokens: every document in containers of ``capacity``
+    tokens (``best_fit_id``: the container before the local search).
 
     A document within the capacity is never split; a longer one gives full pieces and a rest, which is
     an item like any other.  Items are spread at random (by hash) over blocks of about ``block_items``,
     each packed by best fit decreasing and then by local search (move, one for one, two for one,
-    raising the sum of squared fills until containers empty).  A block wastes at most about one
+    raising the sum of squared fills until containers empty and nothing is left to gain).  A block wastes at most about one
     container, so blocks of this size lose next to nothing against one global packing and no task
     holds more than a block.
 
@@ -133,19 +135,22 @@ def pack_documents(documents: DataFrame, capacity: int = 4096, block_items: int
     rows with a null doc_id, and null or empty texts (no tokens), are left out.
     """
     sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), token_count(F.col("text"), vocabulary).alias("_n")).where("doc_id is not null").groupBy("doc_id").agg(F.max("_n").alias("_n")).where("_n > 0")
+    sized = stored(sized)  # the tokenizer runs once
     rest, full = F.col("_n") % capacity, F.floor(F.col("_n") / capacity).cast("int")
     pieces = full + (rest > 0).cast("int")
     items = sized.select("doc_id", "_n", pieces.alias("pieces"), F.explode(F.sequence(F.lit(1), pieces)).alias("piece_no"))
     items = items.select("doc_id", "piece_no", "pieces", ((F.col("piece_no") - 1) * capacity).cast("long").alias("start_token"), F.least(F.lit(capacity).cast("long"), F.col("_n") - (F.col("piece_no") - 1) * capacity).alias("tokens"))
-    whole = items.where(F.col("tokens") == capacity).select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece_no").cast("string")).alias("container_id"), "doc_id", "piece_no", "pieces", "start_token", "tokens")
-    # the number of blocks comes from the number of rows, which parquet knows without reading texts
-    blocks = max(1, round(documents.count() / block_items))
+    named = ["doc_id", "piece_no", "pieces", "start_token", "tokens"]
+    own = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece_no").cast("string"))
+    whole = items.where(F.col("tokens") == capacity).select(own.alias("container_id"), own.alias("best_fit_id"), *named)
+    blocks = max(1, round(sized.count() / block_items))
     open_items = items.where(F.col("tokens") < capacity).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long"))
-    packed = open_items.groupBy("block").applyInPandas(_pack_block(capacity, rounds), "block long, bin long, doc_id long, piece_no int, pieces int, start_token long, tokens long")
-    return whole.unionByName(packed.select(F.concat(F.lit("b"), F.col("block").cast("string"), F.lit("-"), F.col("bin").cast("string")).alias("container_id"), "doc_id", "piece_no", "pieces", "start_token", "tokens"))
+    packed = open_items.groupBy("block").applyInPandas(_pack_block(capacity), "block long, bin long, best_fit long, doc_id long, piece_no int, pieces int, start_token long, tokens long")
+    of = lambda c: F.concat(F.lit("b"), F.col("block").cast("string"), F.lit("-"), F.col(c).cast("string"))
+    return whole.unionByName(packed.select(of("bin").alias("container_id"), of("best_fit").alias("best_fit_id"), *named))
 
 
 def packing_report(packed: DataFrame, capacity: int = 4096) -> DataFrame:
-    """Containers, tokens, the least number of containers any packing needs, and the mean fill."""
-    total = packed.agg(F.countDistinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"), F.countDistinct("doc_id").alias("documents"))
-    return total.select("documents", "containers", "tokens", F.ceil(F.col("tokens") / capacity).alias("least_containers"), F.round(F.col("tokens") / (F.col("containers") * capacity), 6).alias("fill"))
+    """Documents, containers, those of best fit alone, tokens, the least number of containers any packing needs, and the mean fill."""
+    total = packed.agg(F.countDistinct("container_id").alias("containers"), F.countDistinct("best_fit_id").alias("best_fit_containers"), F.sum("tokens").alias("tokens"), F.countDistinct("doc_id").alias("documents"))
+    return total.select("documents", "containers", "best_fit_containers", "tokens", F.ceil(F.col("tokens") / capacity).alias("least_containers"), F.round(F.col("tokens") / (F.col("containers") * capacity), 6).alias("fill"))

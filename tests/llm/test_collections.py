@@ -122,7 +122,7 @@ def test_local_search_keeps_items_and_never_overfills(seed):
     sizes = rng.integers(1, 45, size=400)
     bins = packing.Bins(sizes, 100)
     before = sum(1 for b in bins.items if b)
-    bins.improve(300)
+    bins.improve()
     where = bins.assignment()
     assert (where >= 0).all()
     fills = np.bincount(where, weights=sizes)
@@ -135,7 +135,7 @@ def test_exchanges_empty_a_container():
     sizes = np.array([6, 5, 4, 3, 2])
     bins = packing.Bins(sizes, 10)
     bins.items, bins.free = [[0, 3], [1, 2], [4]], [1, 1, 8]
-    bins.improve(50)
+    bins.improve()
     fills = sorted(int(sum(sizes[i] for i in b)) for b in bins.items if b)
     assert sum(fills) == 20 and max(fills) <= 10 and len(fills) <= 3
 
@@ -156,6 +156,17 @@ def test_pack_documents(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_local_search_saves_containers():
+    sizes = np.random.default_rng(1).integers(900, 2400, 2000)
+    bins = packing.Bins(sizes, 4096)
+    before, bound = len(bins.items), -(-int(sizes.sum()) // 4096)
+    bins.improve()
+    place = bins.assignment()
+    after = len(set(place.tolist()))
+    assert np.bincount(place, weights=sizes).max() <= 4096
+    assert bound <= after and before - after >= 0.6 * (before - bound)
+
+
 # --- mixing ------------------------------------------------------------------------------------------------
 
 
