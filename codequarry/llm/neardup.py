@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import TYPES, cut_lineage, newest, struct_of
+from codequarry.llm.common import TYPES, cut_lineage, newest, stored, struct_of
 
 _WORDS = re.compile(r"[a-z0-9_]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -89,8 +89,25 @@ def _elements(sets, seeds: np.ndarray) -> np.ndarray:
     return _mix(sig * _M2 + np.arange(sig.shape[1], dtype=np.uint64)[None, :] * _M1).view(np.int64)
 
 
-def _posted(coordinates: int, prefix: int, heavy: dict[int, int]):
-    """The first ``prefix`` elements of every class, rare ones first."""
+def _split_hot(elements: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(posting keys, rows of the classes): an element that isn't hot is a key, a hot one gives a key with each other element of the class.
+
+    Two classes with s elements in common, of which h are hot, meet under s - h + h (s - h) + h (h - 1) / 2 keys: that
+    is 3 or more just if s is."""
+    rows, cols = np.nonzero(~hot)
+    keys, owners = [elements[rows, cols]], [rows]
+    for i in np.flatnonzero(hot.any(axis=1)).tolist():
+        places = np.flatnonzero(hot[i])
+        a, b = np.repeat(places, elements.shape[1]), np.tile(np.arange(elements.shape[1]), len(places))
+        once = (a < b) | ((a > b) & ~hot[i][b])
+        low, high = np.minimum(elements[i][a[once]], elements[i][b[once]]), np.maximum(elements[i][a[once]], elements[i][b[once]])
+        keys.append((_mix(low.view(np.uint64) * _M1 + _M3) ^ _mix(high.view(np.uint64) * _M2 + _M1)).view(np.int64))
+        owners.append(np.full(len(low), i))
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def _posted(coordinates: int, prefix: int, heavy: dict[int, int], hot_from: float):
+    """The first ``prefix`` elements of every class, rare ones first; those that ``hot_from`` or more of the sample hold, in pairs."""
 
     def post(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds = coordinate_seeds(coordinates)
@@ -105,8 +122,9 @@ def _posted(coordinates: int, prefix: int, heavy: dict[int, int]):
                 place = np.minimum(np.searchsorted(frequent, elements), len(frequent) - 1)
                 weight = np.where(frequent[place] == elements, weights[place], 0)
             order = np.lexsort((elements, weight), axis=1)[:, :prefix]
-            elements = np.take_along_axis(elements, order, axis=1)
-            yield pd.DataFrame({"element": elements.ravel(), "cid": np.repeat(part["cid"].to_numpy(), elements.shape[1])})
+            elements, weight = np.take_along_axis(elements, order, axis=1), np.take_along_axis(weight, order, axis=1)
+            keys, rows = _split_hot(elements, weight >= hot_from)
+            yield pd.DataFrame({"element": keys, "cid": part["cid"].to_numpy()[rows]})
 
     return post
 
@@ -142,12 +160,20 @@ class NearDuplicates:
     with probability ``miss``.  The global order only has to be the same for all; the frequent values
     are counted on a sample of at most ``order_sample`` classes and at most ``order_values`` of them
     are remembered.
+
+    A value that about ``hot`` classes or more hold (by the sample) would make its list meet itself in full: it is
+    posted together with each other value of the class instead, which loses no pair, since three values
+    have to be shared (see ``_split_hot``; with another number of collisions values are posted as they are, and the
+    join's skew is left to adaptive execution).  Classes of many copies are dealt to parts when pairs are written out.
     """
 
+    #: Records of a class in one part of the join that writes pairs out.
+    PART = 1_000
+
     #: Class ids, 8 bytes each, that may be broadcast to thin out the classes to check; beyond that the join shuffles.
     BROADCAST_IDS = 1_000_000
 
-    def __init__(self, records: DataFrame, similarity: float = 0.8, k: int = 5, least_words: int = 5, coordinates: int = 32, collisions: int = 3, miss: float = 0.001, order_sample: int = 50_000, order_values: int = 20_000):
+    def __init__(self, records: DataFrame, similarity: float = 0.8, k: int = 5, least_words: int = 5, coordinates: int = 32, collisions: int = 3, miss: float = 0.001, order_sample: int = 50_000, order_values: int = 20_000, hot: int = 2_000):
         """``records``: id, text; with a column ``at`` the newest row of an id counts, with a column ``wanted`` only if that is true."""
         m = max(collisions, match_threshold(similarity, coordinates, miss))
         has = set(records.columns)
@@ -163,7 +189,8 @@ class NearDuplicates:
         sample = d.select("fp", "shingles").where(F.abs(F.xxhash64("fp")) % 1_000_000 < int(part * 1_000_000)).dropDuplicates(["fp"]).select("shingles")
         counts = sample.mapInPandas(_all_elements(coordinates), "element long").groupBy("element").count().where("count >= 5").orderBy(F.desc("count"), "element").limit(order_values).collect()
         heavy = {r["element"]: r["count"] for r in counts}
-        posted = classes.select("cid", "shingles").mapInPandas(_posted(coordinates, coordinates - m + collisions, heavy), "element long, cid long")
+        hot_from = max(5.0, hot * part) if collisions == 3 else float("inf")
+        posted = stored(classes.select("cid", "shingles").mapInPandas(_posted(coordinates, coordinates - m + collisions, heavy, hot_from), "element long, cid long"))
         met = posted.alias("a").join(posted.alias("b"), "element").where("a.cid < b.cid").select(F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b"))
         pairs = cut_lineage(met.groupBy("cid_a", "cid_b").agg(F.count("*").alias("n")).where(F.col("n") >= collisions).select("cid_a", "cid_b"))
         ids = pairs.select(F.col("cid_a").alias("cid")).unionByName(pairs.select(F.col("cid_b").alias("cid"))).distinct()
@@ -179,11 +206,17 @@ class NearDuplicates:
 
     def pairs(self) -> DataFrame:
         """id_a < id_b of all pairs of records, those of a class included."""
-        m = self.members
-        a, b = m.select(F.col("fp").alias("fp_a"), F.col("id").alias("x")), m.select(F.col("fp").alias("fp_b"), F.col("id").alias("y"))
-        across = self.class_pairs.select("fp_a", "fp_b").join(a, "fp_a").join(b, "fp_b").select("x", "y")
-        within = a.join(b.withColumnRenamed("fp_b", "fp_a"), "fp_a").where("x < y").select("x", "y")
-        return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+        copies = self.members.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
+        large = stored(copies.where(F.col("n") > self.PART).select("fp", F.ceil(F.col("n") / self.PART).cast("int").alias("parts")))
+        parts = F.coalesce("parts", F.lit(1))
+        m = self.members.join(large, "fp", "left").select("fp", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), "id")
+        alike = self.class_pairs.select("fp_a", "fp_b").unionByName(copies.select(F.col("fp").alias("fp_a"), F.col("fp").alias("fp_b")))
+        for side in ("a", "b"):
+            of = large.select(F.col("fp").alias(f"fp_{side}"), "parts")
+            alike = alike.join(of, f"fp_{side}", "left").select("fp_a", "fp_b", *(["part_a"] if side == "b" else []), F.explode(F.sequence(F.lit(0), parts - 1)).alias(f"part_{side}"))
+        a, b = (m.select(F.col("fp").alias(f"fp_{s}"), F.col("part").alias(f"part_{s}"), F.col("id").alias(n)) for s, n in (("a", "x"), ("b", "y")))
+        both = alike.join(a, ["fp_a", "part_a"]).join(b, ["fp_b", "part_b"]).where((F.col("fp_a") != F.col("fp_b")) | (F.col("x") < F.col("y")))
+        return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
     def groups(self) -> DataFrame:
         """id, group_id (least id reachable through pairs), links (number of near-duplicates of other text), copies (records with the same shingles)."""

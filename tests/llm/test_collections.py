@@ -54,6 +54,41 @@ def test_near_duplicates_against_all_pairs(spark):
     assert groups["copy1"]["copies"] == groups["copy2"]["copies"] >= 3
 
 
+def test_hot_values_meet_under_pairs():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        values = rng.integers(-(2**62), 2**62, 12)
+        frequent = set(values[: rng.integers(0, 8)].tolist())
+        two = np.stack([rng.choice(values, 6, replace=False) for _ in range(2)])
+        keys, rows = neardup._split_hot(two, np.isin(two, list(frequent)))
+        met = len(set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist()))
+        shared = set(two[0].tolist()) & set(two[1].tolist())
+        s, h = len(shared), len(shared & frequent)
+        assert met == s - h + h * (s - h) + h * (h - 1) // 2 and (met >= 3) == (s >= 3)
+
+
+def test_near_duplicates_by_every_route(spark, monkeypatch):
+    """Hot values, classes in parts and the join without a broadcast give the same pairs."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    base = rng.choices(words, k=60)
+    texts = {}
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        texts[f"d{i:03}"] = " ".join(w)
+    texts |= {f"e{i:03}": " ".join(base) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "id string, text string")
+    plain = {tuple(r) for r in neardup.NearDuplicates(df, similarity=0.7, k=3, least_words=30).pairs().collect()}
+    monkeypatch.setattr(neardup.NearDuplicates, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(neardup.NearDuplicates, "PART", 7)
+    rows = neardup.NearDuplicates(df, similarity=0.7, k=3, least_words=30, hot=10).pairs().collect()
+    assert len(rows) == len({tuple(r) for r in rows}) and {tuple(r) for r in rows} == plain
+    want = brute_pairs(texts, 3, 30, 0.7)
+    assert plain <= want and len(want - plain) <= 0.005 * len(want)
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id string, text string")
     near = neardup.NearDuplicates(df)
