@@ -84,9 +84,10 @@ _LAST: dict[str, list] = {}
 class BracketGrammar:
     """Scanner, newline rule and role expressions of one language."""
 
-    def __init__(self, scanner, kinds, keywords, newlines, roles, named, rules, program, angle=None, never=None):
+    def __init__(self, scanner, kinds, keywords, newlines, roles, named, rules, program, angle=None, never=None, blank=r"[ \t]"):
         self.never = re.compile(never).search if never else lambda s: None
-        self.scan = re.compile(scanner, re.S).finditer
+        # a token takes the white space before it along; what is no token is bad
+        self.scan = re.compile(rf"{blank}*+(?:{scanner}|(?P<bad>.))", re.S).finditer
         self.last = _LAST.setdefault(scanner, [None, None])  # grammars with the same scanner read a text once
         self.kinds, self.keywords, self.newlines = kinds, keywords, newlines
         self.roles = roles
@@ -158,27 +159,25 @@ class BracketGrammar:
 
     def _tokens(self, text: str, most: int | None) -> tuple[list[str], list[tuple[int, str]], list[str]]:
         """(characters of the tokens, places of words and the words, template literals)."""
-        out, words, templates, kinds, end = [], [], [], self.kinds, 0
+        out, words, templates, kinds = [], [], [], self.kinds
         for m in self.scan(text) if most is None else islice(self.scan(text), most):
-            if m.start() != end:
-                raise LexError(text[end : m.start()])
-            end = m.end()
             kind = m.lastgroup
             if kind == "word":
-                words.append((len(out), m[0]))
+                words.append((len(out), m[kind]))
                 out.append("i")
             elif kind == "punct":
-                out.append(kinds.get(m[0]) or m[0])
+                token = m[kind]
+                out.append(kinds.get(token) or token)
             elif kind == "note":
-                if "\n" in m[0]:
+                if "\n" in m[kind]:
                     out.append("\n")
             elif kind == "tmpl":
-                templates.append(m[0])
+                templates.append(m[kind])
                 out.append("`")
+            elif kind == "bad":
+                raise LexError(m[kind])
             elif kind != "space":
                 out.append(kinds[kind])
-        if end != len(text) and most is None:
-            raise LexError(text[end:])
         return out, words, templates
 
     def template(self, text: str) -> None:
@@ -672,5 +671,9 @@ def examine(language: str, text: str) -> tuple[bool, list[str]]:
     if not text.strip():
         good = parses(language, text)
         return good, [language] * good
-    accepting = [other for other in rank_languages(text) if parses(other, text)]
-    return language in accepting, accepting
+    ranked, good = rank_languages(text), set()
+    for other in sorted(ranked, key=lambda x: x == "typescript"):
+        # plain JavaScript is valid TypeScript: what the one grammar accepts belongs to the other too
+        if (other == "typescript" and "javascript" in good) or parses(other, text):
+            good.add(other)
+    return language in good, [other for other in ranked if other in good]
