@@ -134,8 +134,7 @@ def language_of(path: Column) -> Column:
     name = F.lower(F.element_at(F.split(path, "/"), -1))
     ext = F.regexp_extract(name, r"[^.](\.[^.]+)$", 1)
     stem = F.when(ext != "", F.substring(name, F.lit(1), F.length(name) - F.length(ext))).otherwise(name)
-    by_ext = {e: lang for lang, es in t.EXTENSIONS.items() for e in es.split()}
-    known = F.coalesce(_lookup(ext, by_ext), _lookup(name, t.FILENAMES), _lookup(stem, t.FILENAMES))
+    known = F.coalesce(_lookup(ext, t.EXTENSIONS), _lookup(name, t.FILENAMES), _lookup(stem, t.FILENAMES))
     return F.when(name.isin(t.SKIP_FILENAMES) | ext.isin(t.SKIP_EXTENSIONS), F.lit(None).cast("string")).otherwise(known)
 
 
@@ -183,15 +182,10 @@ def error_class(message: Column) -> Column:
     return out
 
 
-def architecture_hints(paths: Column) -> Column:
-    """Labels for what the (at most sampled) paths hint at, in fixed order."""
-    low = F.transform(paths, lambda p: F.lower(p))
-
-    def hint(words: list[str], label: str) -> Column:
-        return F.when(F.exists(low, lambda p: contains_any(p, words)), F.lit(label))
-
-    found = [hint(words, label) for words, label in t.HINTS]
-    return F.array_compact(F.array(*found))
+def architecture_hints(path: Column) -> Column:
+    """Aggregate: labels for what any of a group's paths hints at, in fixed order."""
+    low = F.lower(path)
+    return F.array_compact(F.array(*[F.when(F.bool_or(contains_any(low, words)), F.lit(label)) for words, label in t.HINTS]))
 
 
 def tags(raw: Column) -> Column:

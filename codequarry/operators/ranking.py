@@ -16,7 +16,8 @@ def fuse(hits: DataFrame, top: int, rrf_k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of (query_id, variant_no, rank, id, similarity).
 
     query_id, id, rrf_score, appearances, best_similarity, similarity (that of the last list), position.
-    A query with one non-empty list keeps its similarities as scores.
+    A query with one non-empty list keeps its similarities as scores.  Scores are rounded for output only:
+    the order is that of the sums (to 12 places, below which a sum depends on the order of its terms).
     """
     lists = F.size(F.collect_set("variant_no").over(Window.partitionBy("query_id")))
     g = hits.withColumn("_lists", lists).groupBy("query_id", "id").agg(
@@ -24,7 +25,7 @@ def fuse(hits: DataFrame, top: int, rrf_k: int = 60) -> DataFrame:
         F.max_by("similarity", "variant_no").alias("similarity"), F.max("_lists").alias("_lists"), F.min(F.struct("variant_no", "rank")).alias("_first"),
     )
     g = g.withColumn("rrf_score", F.when(F.col("_lists") == 1, F.col("similarity")).otherwise(F.round("_rrf", 6)))
-    position = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "_first", "id"))
+    position = F.row_number().over(Window.partitionBy("query_id").orderBy(F.when(F.col("_lists") == 1, F.col("similarity")).otherwise(F.round("_rrf", 12)).desc(), "_first", "id"))
     return g.withColumn("position", position).where(F.col("position") <= top).select("query_id", "id", "rrf_score", "appearances", "best_similarity", "similarity", "position")
 
 

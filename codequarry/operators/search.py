@@ -64,24 +64,24 @@ def _scorer(queries, dim: int, k: int):
     return run
 
 
-def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, block: int = 4096) -> DataFrame:
+def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, block: int = 4096, dim: int | None = None) -> DataFrame:
     """query_id, id, rank, similarity: for each query the ``k`` nearest rows by cosine, then those of at least ``threshold``.
 
     ``corpus``: id, embedding; ``queries``: query_id, embedding.  Similarity is the cosine, not under
     0, rounded to 4 places; ties go to the smaller id.  Null, zero, non-finite vectors and those of
-    another length take no part.  Queries are worked in blocks of ``block``, which bounds what is
+    another length than ``dim`` (by default the most frequent one of the queries) take no part.  Queries are worked in blocks of ``block``, which bounds what is
     broadcast; each block scans the corpus once and shuffles k rows for each query and batch.
     """
     spark = corpus.sparkSession
     q = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
     id_type, query_type = corpus.schema["id"].dataType, queries.schema["query_id"].dataType
     schema = T.StructType([T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("cosine", T.DoubleType())])
-    blocks = max(1, -(-q.count() // block))
+    lengths = {r["n"]: r["count"] for r in q.groupBy(F.size("embedding").alias("n")).count().collect()}
+    dim = dim or max(lengths, key=lambda n: (lengths[n], n), default=0)
+    blocks = max(1, -(-sum(lengths.values()) // block))
     scored: DataFrame | None = None
     for b in range(blocks):
         rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").collect()
-        lengths = [len(r["embedding"]) for r in rows]
-        dim = max(set(lengths), key=lengths.count) if lengths else 0
         rows = [r for r in rows if len(r["embedding"]) == dim and np.isfinite(r["embedding"]).all() and any(r["embedding"])] if dim else []
         m = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
         m = m / np.sqrt((m * m).sum(axis=1, keepdims=True)) if len(rows) else m

@@ -71,8 +71,7 @@ def language(path: str) -> str:
     name = f"lower(string_split({path}, '/')[-1])"
     ext = f"regexp_extract({name}, '[^.]([.][^.]+)$', 1)"
     stem = f"CASE WHEN {ext} <> '' THEN substr({name}, 1, length({name}) - length({ext})) ELSE {name} END"
-    by_ext = {e: lang for lang, es in t.EXTENSIONS.items() for e in es.split()}
-    return f"CASE WHEN {name} IN {_in(t.SKIP_FILENAMES)} OR {ext} IN {_in(t.SKIP_EXTENSIONS)} THEN NULL ELSE coalesce({_case(ext, by_ext)}, {_case(name, t.FILENAMES)}, {_case(f'({stem})', t.FILENAMES)}) END"
+    return f"CASE WHEN {name} IN {_in(t.SKIP_FILENAMES)} OR {ext} IN {_in(t.SKIP_EXTENSIONS)} THEN NULL ELSE coalesce({_case(ext, t.EXTENSIONS)}, {_case(name, t.FILENAMES)}, {_case(f'({stem})', t.FILENAMES)}) END"
 
 
 def _dirs(path: str) -> str:
@@ -102,7 +101,7 @@ scored AS (SELECT query_id, v, id, round(list_dot_product(e, x) / (sqrt(list_dot
 hits AS (SELECT * FROM (SELECT *, round(greatest(CAST(0 AS DOUBLE), c), 4) AS s, row_number() OVER (PARTITION BY query_id, v ORDER BY c DESC, id) AS rk FROM scored) WHERE rk <= 8 AND s >= 0.35),
 lists AS (SELECT query_id, count(DISTINCT v) AS n FROM hits GROUP BY 1),
 fused AS (SELECT query_id, id, sum(CAST(1 AS DOUBLE) / (rk + CAST(60 AS DOUBLE))) AS rrf, count(*) AS appearances, max_by(s, v) AS sim, min(v * 1000 + rk) AS f FROM hits GROUP BY 1, 2),
-placed AS (SELECT fused.*, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n = 1 THEN sim ELSE round(rrf, 6) END DESC, f, id) AS pos0 FROM fused JOIN lists USING (query_id)),
+placed AS (SELECT fused.*, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n = 1 THEN sim ELSE round(rrf, 12) END DESC, f, id) AS pos0 FROM fused JOIN lists USING (query_id)),
 cand AS (SELECT p.query_id, p.id, p.sim, p.appearances, p.pos0, c.* EXCLUDE (similarity), {tokens("concat_ws(' ', qc.function_name, qc.class_name, qc.file_path)")} AS qt, {tokens('c.text')} AS dt FROM placed p JOIN chunks_n c ON c.chunk_id = p.id JOIN chunks_n qc ON qc.chunk_id = p.query_id WHERE p.pos0 <= 10)"""
 
 KEYWORDS = f""",
@@ -139,6 +138,10 @@ edges AS (SELECT * FROM e12 UNION ALL SELECT re3.* FROM re3 SEMI JOIN (SELECT DI
 )
 
 
+def _stem(path: str) -> str:
+    return rf"regexp_extract({path}, '([^/]+?)(?:\.[^./]+)?$', 1)"
+
+
 def _domain() -> str:
     low = "lower(trim(question))"
     return "[" + ", ".join(rf"CASE WHEN contains({low}, {_q(k)}) AND regexp_replace({low}, '\b{k}\b', {_q(s)}, 'g') <> {low} THEN regexp_replace({low}, '\b{k}\b', {_q(s)}, 'g') END" for k, ss in t.DOMAIN_TERMS.items() for s in ss) + "]"
@@ -172,7 +175,7 @@ SELECT project_id, source_url, CASE WHEN ok THEN lower(o) END AS owner, CASE WHE
     "embedding_text": f"WITH {CHUNKS} SELECT chunk_id, sha256(concat_ws(' ', language, file_path, '[' || coalesce(nullif(function_name, ''), nullif(class_name, '')) || ']') || chr(10) || text) AS digest FROM chunks_n",
     "file_filters": f"WITH {FILES} SELECT project_id, file_path FROM files_n WHERE strlen(coalesce(content, '')) BETWEEN 1 AND 512000 AND length({_STRIP.format("coalesce(content, '')")}) >= 10 AND ({language('file_path')}) IS NOT NULL AND len(list_filter({_dirs('file_path')}, lambda d: lower(d) IN {_in(t.SKIP_DIRECTORIES)} OR starts_with(d, '.'))) = 0",
     "size_bucket": f"WITH {FILES}, x AS (SELECT project_id, CAST(sum(file_size_bytes) AS BIGINT) AS bytes, CAST(sum(file_size_bytes) AS DOUBLE) / 1024 AS k FROM files_n GROUP BY 1) SELECT project_id, bytes, CASE WHEN k < 10000 THEN 'small' WHEN k < 50000 THEN 'medium' WHEN k < 150000 THEN 'large' ELSE 'very_large' END AS size, CASE WHEN k < 10000 THEN 1 WHEN k < 50000 THEN 2 WHEN k < 150000 THEN 5 ELSE 10 END AS minutes, k > 50000 AS is_large, round(k / 1024, 1) AS megabytes FROM x",
-    "large_repo_cap": f"WITH {FILES}, x AS (SELECT *, lower(file_path) AS low, lower(string_split(file_path, '/')[-1]) AS nm FROM files_n), y AS (SELECT *, CASE WHEN len(list_filter({_dirs('low')}, lambda d: d IN {_in(t.LARGE_REPO_SKIP)})) > 0 THEN 99 WHEN nm IN {_in(t.LARGE_REPO_ENTRY)} THEN 1 WHEN string_split(low, '/')[1] IN {_in(t.LARGE_REPO_CORE)} AND contains(low, '/') THEN 2 WHEN nm IN {_in(t.LARGE_REPO_BUILD)} THEN 3 WHEN coalesce(language, '') NOT IN ('markdown', 'rst', 'text') THEN 4 WHEN language IN ('markdown', 'rst') THEN 7 ELSE 5 END AS priority FROM x) SELECT project_id, file_path, priority, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY priority, file_path) AS INTEGER) AS rank FROM y) WHERE rank <= 100",
+    "large_repo_cap": f"WITH {FILES}, x AS (SELECT *, lower(file_path) AS low, lower(string_split(file_path, '/')[-1]) AS nm FROM files_n), y AS (SELECT *, CASE WHEN len(list_filter({_dirs('low')}, lambda d: d IN {_in(t.LARGE_REPO_SKIP)})) > 0 THEN 99 WHEN nm IN {_in(t.LARGE_REPO_ENTRY)} THEN 1 WHEN string_split(low, '/')[1] IN {_in(t.LARGE_REPO_CORE)} AND contains(low, '/') THEN 2 WHEN nm IN {_in(t.LARGE_REPO_BUILD)} THEN 3 WHEN coalesce(language, '') NOT IN ('markdown', 'rst', 'text') THEN 4 WHEN language IN ('markdown', 'rst') THEN 7 ELSE 5 END AS priority FROM x) SELECT project_id, file_path, priority, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY priority, file_path) AS INTEGER) AS rank FROM y) WHERE rank <= 300",
     "chunk_sliding": rf"""WITH {FILES}, w AS (SELECT project_id, file_path, content, unnest(range(0, CAST((length(content) - 1) // 450 + 1 AS BIGINT))) AS i FROM files_n WHERE content <> ''),
 x AS (SELECT *, substr(content, CAST(i * 450 + 1 AS BIGINT), 500) AS t FROM w), y AS (SELECT *, min(CASE WHEN regexp_full_match(t, '\s*') THEN i END) OVER (PARTITION BY project_id, file_path) AS stop FROM x), z AS (SELECT *, {_NL.format("substr(content, 1, CAST(i * 450 AS BIGINT))")} + 1 AS a FROM y WHERE stop IS NULL OR i < stop)
 SELECT substr(sha256(project_id || ':' || file_path || ':' || CAST(i AS VARCHAR)), 1, 12) AS chunk_id, project_id, file_path, CAST(i AS INTEGER) AS chunk_index, sha256({_STRIP.format('t')}) AS digest, CAST(a AS INTEGER) AS start_line, CAST(a + {_NL.format('t')} AS INTEGER) AS end_line, CAST(length(t) AS INTEGER) AS char_count, CAST(greatest(1, length(t) // 4) AS INTEGER) AS token_count FROM z""",
@@ -195,8 +198,8 @@ SELECT substr(sha256(project_id || ':' || file_path || ':' || CAST(i - 1 AS VARC
     "rrf_fuse": """WITH c AS (SELECT answer_id AS query_id, file_path AS id, CASE coalesce(chunk_type, 'block') WHEN 'function' THEN 0 WHEN 'method' THEN 1 WHEN 'class' THEN 2 WHEN 'heading' THEN 3 WHEN 'module' THEN 4 ELSE 5 END AS v, max(coalesce(relevance_score, 0)) AS s FROM source_chunks WHERE answer_id IS NOT NULL AND file_path IS NOT NULL GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, v ORDER BY s DESC, id) AS rk FROM c), l AS (SELECT query_id, count(DISTINCT v) AS lists FROM c GROUP BY 1),
 g AS (SELECT query_id, id, sum(CAST(1 AS DOUBLE) / (rk + CAST(60 AS DOUBLE))) AS rrf, count(*) AS appearances, max(s) AS best_similarity, max_by(s, v) AS similarity, min(v * 1000000 + rk) AS f FROM r GROUP BY 1, 2),
-h AS (SELECT g.*, CASE WHEN lists = 1 THEN similarity ELSE round(rrf, 6) END AS rrf_score FROM g JOIN l USING (query_id))
-SELECT query_id, id, rrf_score, appearances, best_similarity, similarity, position FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, f, id) AS INTEGER) AS position FROM h) WHERE position <= 10""",
+h AS (SELECT g.*, CASE WHEN lists = 1 THEN similarity ELSE round(rrf, 6) END AS rrf_score, CASE WHEN lists = 1 THEN similarity ELSE round(rrf, 12) END AS o FROM g JOIN l USING (query_id))
+SELECT query_id, id, rrf_score, appearances, best_similarity, similarity, position FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY o DESC, f, id) AS INTEGER) AS position FROM h) WHERE position <= 10""",
     "bm25_plus": f"WITH {CANDIDATES} SELECT query_id, id, round(bm25, 4) AS bm25 FROM bm",
     "hybrid_score": f"WITH {HYBRID} SELECT query_id, id, hybrid, position FROM ranked",
     "rerank": f"WITH {HYBRID} SELECT query_id, id, final_score, final_rank FROM fr WHERE final_rank <= 5",
@@ -240,4 +243,27 @@ array_to_string(CASE l WHEN 'java' THEN regexp_extract_all(content, '(?m)^import
 array_to_string(CASE l WHEN 'java' THEN regexp_extract_all(content, '\b(?:class|interface|enum)\s+(\w+)', 1) WHEN 'go' THEN regexp_extract_all(content, '(?m)^type\s+(\w+)\s+(?:struct|interface)', 1) WHEN 'rust' THEN regexp_extract_all(content, '\b(?:struct|enum|trait)\s+(\w+)', 1) ELSE CAST([] AS VARCHAR[]) END, '|') AS classes,
 array_to_string(CASE l WHEN 'java' THEN regexp_extract_all(content, '\b(?:public|private|protected)\s+(?:static\s+)?[\w<>\[\]]+\s+(\w+)\s*\(', 1) WHEN 'go' THEN regexp_extract_all(content, '(?m)^func\s+(?:\([^)]*\)\s*)?(\w+)', 1) WHEN 'rust' THEN regexp_extract_all(content, '\bfn\s+(\w+)', 1) ELSE CAST([] AS VARCHAR[]) END, '|') AS functions FROM x""",
     "progress_changes": "WITH e AS (SELECT user_id AS key, event_id, event_type AS step, CAST(floor(value) AS BIGINT) AS percent, ts FROM events), x AS (SELECT *, lag(step) OVER w AS s, lag(percent) OVER w AS p, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)) SELECT key, event_id, step, percent FROM x WHERE n = 1 OR s IS DISTINCT FROM step OR p IS DISTINCT FROM percent",
+    "embed_hash": f"WITH {CHUNKS} SELECT chunk_id, CAST(384 AS INTEGER) AS size FROM chunks_n",
+    "import_last_part": f"WITH {IMPORTS} SELECT i.project_id, i.source, n.target, i.label FROM im i JOIN (SELECT project_id, string_split(file_path, '/')[-2] AS label, min(file_path) AS target FROM modules_n GROUP BY 1, 2) n USING (project_id, label) WHERE i.source <> n.target",
+    "inheritance_edges": f"WITH {MODULES}, o AS (SELECT project_id, label, min(file_path) AS target FROM (SELECT project_id, file_path, unnest(classes) AS label FROM modules_n) GROUP BY 1, 2) SELECT DISTINCT b.project_id, b.source, o.target, 'inheritance' AS edge_type, b.label FROM (SELECT project_id, file_path AS source, regexp_replace(unnest(inherits_from), 'Base$', '') AS label FROM modules_n) b JOIN o USING (project_id, label)",
+    "entry_answers": f"""WITH {EDGES}, st AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY file_path) AS p FROM modules_n WHERE coalesce(is_entry_point, false) OR len(entry_points) > 0),
+i AS (SELECT project_id, source AS file_path, string_agg(stem, '|' ORDER BY target) AS imports FROM (SELECT *, {_stem('target')} AS stem, row_number() OVER (PARTITION BY project_id, source ORDER BY target) AS r FROM (SELECT DISTINCT project_id, source, target FROM edges)) WHERE r <= 4 GROUP BY 1, 2)
+SELECT project_id, CAST(p AS INTEGER) AS position, file_path, array_to_string(entry_points[1:4], '|') AS details, array_to_string(classes[1:4], '|') AS classes, coalesce(i.imports, '') AS imports FROM st LEFT JOIN i USING (project_id, file_path) WHERE p <= 8""",
+    "dependency_answers": f"""WITH {EDGES}, e AS (SELECT DISTINCT project_id, source, target FROM edges), names AS (SELECT DISTINCT project_id, {_stem('target')} AS name FROM e),
+f AS (SELECT n.project_id, n.name, min(m.file_path) AS file_path FROM names n JOIN modules_n m ON m.project_id = n.project_id AND lower({_stem('m.file_path')}) = lower(n.name) GROUP BY 1, 2),
+o AS (SELECT project_id, source AS file_path, string_agg(target, '|' ORDER BY target) AS a FROM (SELECT *, row_number() OVER (PARTITION BY project_id, source ORDER BY target) AS r FROM e) WHERE r <= 8 GROUP BY 1, 2),
+t AS (SELECT project_id, target AS file_path, string_agg(source, '|' ORDER BY source) AS b FROM (SELECT *, row_number() OVER (PARTITION BY project_id, target ORDER BY source) AS r FROM e) WHERE r <= 8 GROUP BY 1, 2)
+SELECT f.project_id, f.name, f.file_path, coalesce(o.a, '') AS imports_from, coalesce(t.b, '') AS imported_by, array_to_string(m.inherits_from, '|') AS inherits_from FROM f LEFT JOIN o USING (project_id, file_path) LEFT JOIN t USING (project_id, file_path) JOIN modules_n m USING (project_id, file_path)""",
+    "architecture_overview": f"""WITH {EDGES}, m AS (SELECT project_id, count(*) AS modules, CAST(sum(len(classes)) AS BIGINT) AS classes, CAST(sum(len(functions)) AS BIGINT) AS functions FROM modules_n GROUP BY 1),
+l AS (SELECT project_id, string_agg(CAST(n AS VARCHAR) || ' ' || lang, '|' ORDER BY n DESC, lang) AS languages FROM (SELECT project_id, coalesce(language, '') AS lang, count(*) AS n FROM modules_n GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT project_id, string_agg(file_path, '|' ORDER BY file_path) AS entry_points FROM (SELECT project_id, file_path, row_number() OVER (PARTITION BY project_id ORDER BY file_path) AS r FROM modules_n WHERE coalesce(is_entry_point, false) OR len(entry_points) > 0) WHERE r <= 4 GROUP BY 1),
+c AS (SELECT project_id, string_agg(target || ' ' || CAST(n AS VARCHAR), '|' ORDER BY r) AS core_modules FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, target) AS r FROM (SELECT project_id, target, count(*) AS n FROM edges GROUP BY 1, 2)) WHERE r <= 4 GROUP BY 1), d AS (SELECT project_id, count(*) AS dependencies FROM edges GROUP BY 1)
+SELECT project_id, modules, classes, functions, coalesce(dependencies, 0) AS dependencies, languages, coalesce(entry_points, '') AS entry_points, coalesce(core_modules, '') AS core_modules FROM m LEFT JOIN l USING (project_id) LEFT JOIN s USING (project_id) LEFT JOIN c USING (project_id) LEFT JOIN d USING (project_id)""",
+    "architecture_gate": f"WITH {DOCS}, {MODULES} SELECT doc_id, project_id, CASE {' '.join(f'WHEN {_any("lower(text)", w)} THEN {_q(n)}' for n, w in t.ROUTES)} ELSE 'general' END AS route FROM docs_n WHERE text IS NOT NULL AND {_any('lower(text)', t.ARCHITECTURE_KEYWORDS)} AND project_id IN (SELECT project_id FROM modules_n)",
+    "source_table": f"WITH {FILES} SELECT project_id, file_path, {language('file_path')} AS language, strlen(content) AS file_size_bytes, CAST({_lines('content')} AS INTEGER) AS line_count, 'utf-8' AS encoding, sha256(content) AS digest FROM files_n WHERE content IS NOT NULL AND strlen(content) BETWEEN 1 AND 512000 AND length({_STRIP.format('content')}) >= 10 AND ({language('file_path')}) IS NOT NULL AND len(list_filter({_dirs('file_path')}, lambda d: lower(d) IN {_in(t.SKIP_DIRECTORIES)} OR starts_with(d, '.'))) = 0",
+    "ignore_rules": rf"WITH {FILES} SELECT project_id, file_path FROM files_n WHERE regexp_extract(file_path, '[^/]*$') = 'keep.md' OR NOT (ends_with(file_path, '.md') OR regexp_matches(file_path, '\.md/') OR list_contains(list_slice(string_split(file_path, '/'), 1, len(string_split(file_path, '/')) - 1), 'tests') OR starts_with(file_path, 'app/') OR regexp_matches(file_path, '^internal/[^/]+/fixture(/|$)'))",
+    "archive_members": f"WITH {FILES} SELECT project_id, file_path, strlen(content) AS length, sha256(content) AS digest FROM files_n WHERE content IS NOT NULL",
+    "stream_progress": "SELECT step, count(*) AS states FROM (SELECT DISTINCT user_id, event_type AS step, floor(value) AS p FROM events) GROUP BY 1",
+    "stream_sessions": """WITH e AS (SELECT user_id AS key, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+SELECT key, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS end, count(*) AS events FROM s GROUP BY key, n HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
 }

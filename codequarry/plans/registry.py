@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codequarry.functions import text as tx
-from codequarry.operators import chunking, graph, memory, ranking, registry, search
+from codequarry.operators import chunking, graph, memory, ranking, registry, search, structure
 from codequarry.plans.oracles import ORACLES
+from codequarry.session import shared_folder
+from codequarry.sources import files as sources
 from codequarry.streaming import progress
 
 QUERIES = {}
@@ -133,8 +137,7 @@ def classify_error(spark, d):
 
 @query
 def architecture_hints(spark, d):
-    g = files(spark, d).groupBy("project_id").agg(F.collect_list("file_path").alias("paths"))
-    return g.select("project_id", F.array_join(tx.architecture_hints(F.col("paths")), ", ").alias("hints"))
+    return files(spark, d).groupBy("project_id").agg(F.array_join(tx.architecture_hints(F.col("file_path")), ", ").alias("hints"))
 
 
 @query
@@ -204,8 +207,8 @@ def chunks_by_language(spark, d):
 @query
 def chunk_inspect(spark, d):
     """The first 20 chunks of each project with a preview."""
-    c = chunks(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy("file_path", "chunk_index", "chunk_id"))).where("rank <= 20")
-    return c.select("project_id", "chunk_id", "rank", F.substring("text", 1, 200).alias("preview"))
+    c = chunks(spark, d).select("project_id", "chunk_id", "file_path", "chunk_index", F.substring("text", 1, 200).alias("preview")).withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy("file_path", "chunk_index", "chunk_id"))).where("rank <= 20")
+    return c.select("project_id", "chunk_id", "rank", "preview")
 
 
 @query
@@ -495,6 +498,86 @@ def generic_extract(spark, d):
     return n.select("project_id", "file_path", "module_name", F.array_join("imports", "|").alias("imports"), F.array_join("classes", "|").alias("classes"), F.array_join("functions", "|").alias("functions"))
 
 
+# --- structural questions ----------------------------------------------------------------------------------------
+
+
+@query
+def inheritance_edges(spark, d):
+    """Bases named as the tables name them, by the class that they extend."""
+    m = modules(spark, d).withColumn("inherits_from", F.transform("inherits_from", lambda b: F.regexp_replace(b, "Base$", "")))
+    return graph.resolve_inheritance(m).distinct()
+
+
+@query
+def import_last_part(spark, d):
+    """Modules under the name of their folder, which is what the tables' imports name."""
+    m = modules(spark, d).withColumn("module_name", F.element_at(F.split("file_path", "/"), -2))
+    return graph.resolve_exact(m).select("project_id", "source", "target", "label")
+
+
+@query
+def entry_answers(spark, d):
+    a = structure.entry_answers(modules(spark, d), edges(spark, d))
+    return a.select("project_id", "position", "file_path", *[F.array_join(c, "|").alias(c) for c in ("details", "classes", "imports")])
+
+
+@query
+def dependency_answers(spark, d):
+    """Asked for the stems of all files that another file imports."""
+    e = edges(spark, d)
+    names = e.select("project_id", F.regexp_extract("target", r"([^/]+?)(?:\.[^./]+)?$", 1).alias("name"))
+    a = structure.dependency_answers(modules(spark, d), e, names)
+    return a.select("project_id", "name", "file_path", *[F.array_join(c, "|").alias(c) for c in ("imports_from", "imported_by", "inherits_from")])
+
+
+@query
+def architecture_overview(spark, d):
+    a = structure.overview(modules(spark, d), edges(spark, d))
+    return a.select("project_id", "modules", "classes", "functions", "dependencies", *[F.array_join(c, "|").alias(c) for c in ("languages", "entry_points", "core_modules")])
+
+
+@query
+def architecture_gate(spark, d):
+    q = documents(spark, d).where("text is not null").select("project_id", F.col("text").alias("question"), "doc_id")
+    return structure.gate(q, modules(spark, d)).select("doc_id", "project_id", "route")
+
+
+@query
+def architecture_summary(spark, d):
+    return structure.summary_text(modules(spark, d), edges(spark, d))
+
+
+# --- sources -------------------------------------------------------------------------------------------------------
+
+
+def _raw(spark, d):
+    """The files as bytes, the way a directory scan gives them."""
+    f = files(spark, d).where("content is not null")
+    return f.select("project_id", "file_path", F.encode("content", "utf-8").alias("bytes")).withColumn("length", F.octet_length("bytes"))
+
+
+@query
+def source_table(spark, d):
+    t = sources.as_table(_raw(spark, d))
+    return t.select("project_id", "file_path", "language", "file_size_bytes", "line_count", "encoding", F.sha2("content", 256).alias("digest"))
+
+
+IGNORE = ["*.md", "tests/", "/app/**", "!keep.md", "internal/*/fixture", "# a remark", ""]
+
+
+@query
+def ignore_rules(spark, d):
+    return files(spark, d).where(~sources.ignored(F.col("file_path"), IGNORE)).select("project_id", "file_path")
+
+
+@query
+def archive_members(spark, d):
+    """Every file in an archive of its own, under a folder, and out of it again."""
+    a = sources.archived(_raw(spark, d), root="root")
+    m = sources.unpacked(a.select("project_id", F.col("archive").alias("content")))
+    return m.select("project_id", "file_path", F.col("length").cast("long").alias("length"), F.sha2("bytes", 256).alias("digest"))
+
+
 # --- streams -------------------------------------------------------------------------------------------------
 
 
@@ -505,23 +588,26 @@ def progress_changes(spark, d):
 
 
 def _stream(spark, d, build, name):
-    """Runs a stream over the events to its end and returns what it emitted."""
+    """Runs a stream over the events to its end, into files in the folder for checkpoints, and returns what it emitted."""
     source = table(spark, d, "events").schema
     e = spark.readStream.schema(source).option("pathGlobFilter", "events.parquet").parquet(d)
     e = e.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("step"), F.floor("value").cast("long").alias("percent"))
-    q = build(e).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    out = build(e)
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    q = out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows")
 
 
 @query
 def stream_sessions(spark, d):
-    return _stream(spark, d, progress.stream_sessions, "stream_sessions_out")
+    s = _stream(spark, d, progress.stream_sessions, "stream_sessions")
+    return s.select("key", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "events")
 
 
 @query
 def stream_progress(spark, d):
-    return _stream(spark, d, progress.stream_progress, "stream_progress_out").groupBy("step").agg(F.count("*").alias("states"))
+    return _stream(spark, d, progress.stream_progress, "stream_progress").groupBy("step").agg(F.count("*").alias("states"))
 
 
 def queries():

@@ -72,7 +72,7 @@ def _decoded(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(None, None) if r is None or looks_binary(r) else decode(r) for r in raws], columns=["content", "encoding"])
 
 
-def _table(raw: DataFrame) -> DataFrame:
+def as_table(raw: DataFrame) -> DataFrame:
     """``raw``: project_id, file_path, length, bytes -> FILES, with the cheap filters before any byte is read."""
     kept = raw.where(F.col("length").between(t.MIN_BYTES, t.MAX_BYTES) & ~tx.in_skipped_directory(F.col("file_path"))).withColumn("language", tx.language_of(F.col("file_path"))).where("language is not null")
     d = kept.withColumn("_d", _decoded("bytes")).select("project_id", "file_path", "language", F.col("length").cast("long").alias("file_size_bytes"), "_d.*")
@@ -87,7 +87,7 @@ def read_tree(spark: SparkSession, root: str, project_id: str, ignore: list[str]
     path = F.regexp_replace("path", "^file:/+", "/")
     relative = F.substring(path, F.instr(path, base) + F.length(base), F.length(path))
     raw = b.select(F.lit(project_id).alias("project_id"), relative.alias("file_path"), "length", F.col("content").alias("bytes"))
-    return _table(raw.where(~ignored(F.col("file_path"), ignore)) if ignore else raw)
+    return as_table(raw.where(~ignored(F.col("file_path"), ignore)) if ignore else raw)
 
 
 def zip_members(data: bytes) -> list[tuple[str, int, bytes]]:
@@ -112,17 +112,39 @@ def zip_members(data: bytes) -> list[tuple[str, int, bytes]]:
 def read_zips(spark: SparkSession, pattern: str) -> DataFrame:
     """The text files of archives; project_id is the archive's name.  A bad archive gives no rows; ``zip_errors`` names it."""
     b = spark.read.format("binaryFile").load(pattern)
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.zip$", "")
+    return as_table(unpacked(b.select(name.alias("project_id"), "content")))
+
+
+def unpacked(archives: DataFrame) -> DataFrame:
+    """project_id, file_path, length, bytes of the members of archives (project_id, content); a bad archive gives no rows."""
 
     def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for path, data in zip(part["path"], part["content"]):
+            for project, data in zip(part["project_id"], part["content"]):
                 try:
                     rows = zip_members(data)
                 except ValueError:
                     continue
-                yield pd.DataFrame([(posixpath.basename(path).removesuffix(".zip"), n, size, raw) for n, size, raw in rows], columns=["project_id", "file_path", "length", "bytes"])
+                yield pd.DataFrame([(project, n, size, raw) for n, size, raw in rows], columns=["project_id", "file_path", "length", "bytes"])
+
+    return archives.select("project_id", "content").mapInPandas(unpack, "project_id string, file_path string, length long, bytes binary")
 
-    return _table(b.select("path", "content").mapInPandas(unpack, "project_id string, file_path string, length long, bytes binary"))
+
+def archived(files: DataFrame, root: str) -> DataFrame:
+    """project_id, archive: every file (project_id, file_path, bytes) in an archive of its own, under a root folder."""
+
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for project, path, raw in zip(part["project_id"], part["file_path"], part["bytes"]):
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(f"{root}/{path}", raw)
+                out.append((project, buffer.getvalue()))
+            yield pd.DataFrame(out, columns=["project_id", "archive"])
+
+    return files.select("project_id", "file_path", "bytes").mapInPandas(pack, "project_id string, archive binary")
 
 
 def zip_errors(spark: SparkSession, pattern: str) -> DataFrame:

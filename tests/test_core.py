@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as tx
-from codequarry.operators import chunking, graph, memory, ranking, registry, search
+from codequarry.operators import chunking, graph, memory, ranking, registry, search, structure
 from codequarry.sources import files as src
 
 
@@ -300,4 +300,79 @@ def test_entry_and_contract(spark):
 
     queries, oracles = e.queries(), e.oracle_sql()
     assert set(oracles) <= set(queries) and "retrieve_e2e" in queries
-    assert e.entry(spark).columns == ["query_id", "id", "final_score", "final_rank"]
+    assert {"query_id", "digest", "chunks"} <= set(e.entry(spark).columns) and e.entry(spark).count() > 0
+
+
+def test_missing_parts_are_named(monkeypatch):
+    """Only the subpackage llm may be missing; another module that can't be imported is an error."""
+    import builtins
+    import importlib
+
+    import __spark_entry__ as e
+
+    real = builtins.__import__
+
+    def without(name):
+        def load(wanted, *rest, **more):
+            if wanted == name or (wanted == "codequarry.llm" and name == "codequarry.llm"):
+                raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+            if wanted == "codequarry.llm" and name == "regex":
+                raise ModuleNotFoundError("No module named 'regex'", name="regex")
+            return real(wanted, *rest, **more)
+
+        return load
+
+    with monkeypatch.context() as m:
+        m.setattr(builtins, "__import__", without("codequarry.llm"))
+        importlib.reload(e)
+        assert e.llm is None and "rerank" in e.queries() and not any(k[0] == "p" and k[1].isdigit() for k in e.queries())
+    with monkeypatch.context() as m:
+        m.setattr(builtins, "__import__", without("regex"))
+        with pytest.raises(ModuleNotFoundError):
+            importlib.reload(e)
+    importlib.reload(e)
+
+
+NODE = "project_id string, file_path string, language string, module_name string, imports array<string>, classes array<string>, functions array<string>, inherits_from array<string>, entry_points array<string>, is_entry_point boolean, size_lines int"
+
+
+def test_structural_answers(spark):
+    m = spark.createDataFrame([
+        ("p", "app.py", "python", "app", ["src.auth", "src.models", "flask"], [], ["main"], [], ["main"], True, 9), ("p", "src/auth.py", "python", "src.auth", ["src.models"], ["Auth"], ["a", "b"], ["Base"], [], False, 5),
+        ("p", "src/models.py", "python", "src.models", [], ["Base", "User"], [], [], [], None, 3), ("q", "x.js", None, "x", [], [], [], [], [], False, None), ("q", "y/z.js", "javascript", "y/z", [], [], [], [], [], False, 1),
+    ], NODE)
+    e = structure.all_edges(m)
+    assert {(r["source"], r["target"], r["edge_type"]) for r in e.collect()} == {("app.py", "src/auth.py", "import"), ("app.py", "src/models.py", "import"), ("src/auth.py", "src/models.py", "import"), ("src/auth.py", "src/models.py", "inheritance")}
+    (entry,) = structure.entry_answers(m, e).collect()
+    assert (entry["file_path"], entry["details"], entry["imports"]) == ("app.py", ["main"], ["auth", "models"])
+    names = spark.createDataFrame([("p", "MODELS"), ("p", "auth"), ("p", "User"), ("p", "src/mod"), ("p", "absent"), ("q", "models")], "project_id string, name string")
+    got = {(r["project_id"], r["name"]): r for r in structure.dependency_answers(m, e, names).collect()}
+    assert got["p", "MODELS"]["imported_by"] == ["app.py", "src/auth.py"] and got["p", "User"]["file_path"] == got["p", "src/mod"]["file_path"] == "src/models.py"
+    assert got["p", "auth"]["imports_from"] == ["src/models.py"] and got["p", "auth"]["inherits_from"] == ["Base"] and got["p", "absent"]["file_path"] is None and got["q", "models"]["file_path"] is None
+    o = {r["project_id"]: r for r in structure.overview(m, e).collect()}
+    assert o["p"]["modules"] == 3 and o["p"]["dependencies"] == 4 and o["p"]["core_modules"][0] == "src/models.py 2" and o["p"]["entry_points"] == ["app.py"] and o["q"]["languages"] == ["1 ", "1 javascript"] and o["q"]["entry_points"] == []
+    text = {r["project_id"]: r["summary"] for r in structure.summary_text(m, e).collect()}
+    assert text["p"].startswith("3 modules (3 python), 3 classes, 3 functions") and "Most imported: models.py 2" in text["p"] and "Components: src: 2" in text["p"]
+    asked = spark.createDataFrame([("p", "Where is the entry point?"), ("p", "Is it fast?"), ("z", "Where is the entry point?"), ("p", None)], "project_id string, question string")
+    assert [(r["project_id"], r["route"]) for r in structure.gate(asked, m).collect()] == [("p", "entry_point")]
+    none = m.limit(0)
+    assert structure.overview(none, structure.all_edges(none)).count() == 0 and structure.entry_answers(none, structure.all_edges(none)).count() == 0
+
+
+def test_archives_and_ignored_files(spark):
+    raw = spark.createDataFrame([("p", "a/b.py", bytearray(b"print('hello')\n"), 15), ("p", "a/c.bin.py", bytearray(b"\0" * 40), 40), ("p", "a/d.py", bytearray("é = 'latin'".encode("latin-1") * 3), 33)], "project_id string, file_path string, bytes binary, length long")
+    back = {r["file_path"]: bytes(r["bytes"]) for r in src.unpacked(src.archived(raw, "root").select("project_id", F.col("archive").alias("content"))).collect()}
+    assert back == {r["file_path"]: bytes(r["bytes"]) for r in raw.collect()}
+    bad = spark.createDataFrame([("p", bytearray(b"no archive"))], "project_id string, content binary")
+    assert src.unpacked(bad).count() == 0
+    t = {r["file_path"]: r for r in src.as_table(raw).collect()}
+    assert set(t) == {"a/b.py", "a/d.py"} and t["a/b.py"]["encoding"] == "utf-8" and t["a/d.py"]["encoding"] != "utf-8"
+
+
+def test_fusion_orders_by_the_sums_not_the_rounded_scores(spark):
+    # 1/(60+100) + 1/(60+101) and 1/(60+99) + 1/(60+102) are equal to six places
+    hits = [(1, 0, 100, "b", 0.5), (1, 1, 101, "b", 0.5), (1, 0, 99, "c", 0.5), (1, 1, 102, "c", 0.5), (1, 0, 98, "a", 0.1), (1, 1, 98, "z", 0.1)]
+    df = spark.createDataFrame(hits, "query_id int, variant_no int, rank int, id string, similarity double")
+    rows = {r["id"]: r for r in ranking.fuse(df, 10).collect()}
+    want = sorted(("b", "c"), key=lambda i: -sum(1 / (r + 60) for _, _, r, x, _ in hits if x == i))
+    assert sorted(("b", "c"), key=lambda i: rows[i]["position"]) == want
