@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
-import shutil
-import tempfile
 import uuid
 from functools import reduce
 
@@ -15,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from codequarry.session import shared_folder
+
 
 TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "float": T.FloatType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
 
@@ -48,29 +47,10 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the one the session names (``spark.checkpoint.dir``).
-
-    Where none is named, a local session (as in tests) gets a folder of its own; on a cluster, where
-    executors couldn't see it, that is an error."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir()
-    if folder:
-        return folder
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="checkpoint-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-    context.setCheckpointDir(named)
-    return context.getCheckpointDir()
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint of a small or row-wise read table (Spark removes its files with
     ``spark.cleaner.referenceTracking.cleanCheckpoints``, which ``session()`` sets)."""
-    checkpoint_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -81,7 +61,7 @@ def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """``df`` written as Parquet beside the checkpoints and read again: lineage is cut, columns are read one by
     one and, with ``by``, so are the parts of a low-cardinality column.  ``release()`` removes the files."""
     spark = df.sparkSession
-    folder = checkpoint_folder(spark)
+    folder = shared_folder(spark)
     path = f"{folder if ':/' in folder else 'file://' + folder}/table-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
