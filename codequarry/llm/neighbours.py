@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codequarry.llm.common import cut_lineage
+from codequarry.llm.common import stored
 
 
 # --- vectors ---------------------------------------------------------------------------------------
@@ -48,6 +48,20 @@ def _matrix(values, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=np.float32).reshape(-1, dim)
 
 
+def coded(x: np.ndarray) -> list[bytes]:
+    """Rows as a scale and 16-bit numbers, half the bytes; similarities keep about six places."""
+    top = np.abs(x).max(axis=1, keepdims=True)
+    codes = np.rint(x / top * 32767).astype("<i2")
+    scales = (top[:, 0] / 32767).astype("<f4")
+    return [s.tobytes() + c.tobytes() for s, c in zip(scales, codes)]
+
+
+def decoded(values, dim: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(values), dtype=np.uint8).reshape(-1, 4 + 2 * dim)
+    x = np.ascontiguousarray(raw[:, 4:]).view("<i2").astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 # --- centroids and their graph -------------------------------------------------------------------------
 
 
@@ -71,7 +85,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> tup
 
 
 def balanced_centroids(x: np.ndarray, count: int, seed: int = 0) -> np.ndarray:
-    """About ``count`` centroids on two levels; dense regions get more, so that lists come out alike in length."""
+    """About ``count`` centroids on two levels; lists that come out more than twice as long as the mean are divided."""
     rng = np.random.default_rng(seed)
     if len(x) <= count or count <= 2:
         return x[: max(1, count)].copy()
@@ -80,7 +94,17 @@ def balanced_centroids(x: np.ndarray, count: int, seed: int = 0) -> np.ndarray:
     for label in np.unique(coarse):
         members = x[coarse == label]
         parts.append(_kmeans(members, max(1, round(count * len(members) / len(x))), 6, rng)[0])
-    return np.concatenate(parts)
+    c = np.concatenate(parts)
+    # a list of more than twice the mean is divided, until none is left (or its vectors can't be told apart)
+    mean = max(1.0, len(x) / len(c))
+    for _ in range(6):
+        label = (x @ c.T).argmax(axis=1)
+        sizes = np.bincount(label, minlength=len(c))
+        long = np.flatnonzero(sizes > 2 * mean)
+        if not len(long):
+            break
+        c = np.concatenate([np.delete(c, long, axis=0), *(_kmeans(x[label == i], int(np.ceil(sizes[i] / mean)), 4, rng)[0] for i in long)])
+    return c
 
 
 class CentroidGraph:
@@ -125,7 +149,7 @@ class CentroidGraph:
 
 
 def _assigned(graph_b, dim: int, replicas: int, ratio: float):
-    """Posting rows: the list of the nearest centroid and those whose distance is within the ratio of the nearest."""
+    """(fp, least_id, code, lists): the list of the nearest centroid and those whose distance is within the ratio of the nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = graph_b.value
@@ -137,9 +161,9 @@ def _assigned(graph_b, dim: int, replicas: int, ratio: float):
                 dist = np.sqrt(np.maximum(0.0, 2 - 2 * sims))
                 keep = (sims > -2) & (dist <= ratio * dist[:, :1] + 1e-6)
                 keep[:, 0] = True
-                row, col = np.nonzero(keep)
-                taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[row, col].astype(np.int64)), taken.column("fp"), taken.column("least_id"), taken.column("vec")], ["list", "fp", "least_id", "vec"])
+                ends = np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(nodes[keep].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("fp"), part.column("id"), pa.array(coded(x), pa.binary()), lists], ["fp", "least_id", "code", "lists"])
 
     return run
 
@@ -150,7 +174,7 @@ def _within(dim: int, k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("least_id", kind="stable")
         asks, gives = np.flatnonzero(pdf["asks"].to_numpy()), np.flatnonzero(pdf["gives"].to_numpy())
-        x = _matrix(pdf["vec"].to_numpy(), dim)
+        x = decoded(pdf["code"].to_numpy(), dim)
         fp = pdf["fp"].to_numpy()
         members, out = x[gives], []
         for at in range(0, len(asks), 1024):
@@ -182,7 +206,7 @@ def most_similar(vectors: DataFrame, k: int = 5, dim: int = 384, list_size: int
     vectors (the index is fitted on a sample, every vector is indexed); there are about one for each
     ``list_size`` vectors, at most ``max_centroids`` (which bounds what is broadcast).  A vector is
     posted to, and looks into, the lists of those of its ``replicas`` nearest centroids, found on a graph, whose
-    distance is within ``ratio`` of the nearest.  Lists longer than ``block`` are worked in pairs of blocks,
+    distance is within ``ratio`` of the nearest.  Lists hold vectors as 16-bit codes, which halves what is shuffled.  Lists longer than ``block`` are worked in pairs of blocks,
     so no task holds more than two blocks.  Tests hold the recall against brute force.
     """
     spark = vectors.sparkSession
@@ -190,11 +214,14 @@ def most_similar(vectors: DataFrame, k: int = 5, dim: int = 384, list_size: int
     v = src.mapInArrow(_unit(dim), "id string, at timestamp_ntz, fp binary, vec binary")
     newest = Window.partitionBy("id").orderBy(F.col("at").desc_nulls_last(), F.col("fp").asc_nulls_last())
     v = v.where("id is not null").withColumn("_r", F.row_number().over(newest)).where("_r = 1 and vec is not null").select("id", "fp", "vec")
-    v = cut_lineage(v)
+    v = stored(v)
     members = v.select("fp", "id")
     n = members.count()
-    least = v.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"))
-    reps = v.join(least.select("fp", F.col("least_id").alias("id")), ["fp", "id"]).select("fp", F.col("id").alias("least_id"), "vec")
+    least = stored(members.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("copies")))
+    copies_of = least.where("copies > 1")
+    # vectors stay where they are: only those that repeat another are taken out
+    again = stored(members.join(copies_of, "fp").where("id <> least_id").select("id"))
+    reps = v.join(again, "id", "left_anti")
 
     share = min(1.0, sample_rows / max(1, n))
     drawn = v.where(F.abs(F.xxhash64("id")) % 1_000_000 < int(share * 1_000_000)).select("fp", "vec").dropDuplicates(["fp"]).orderBy(F.xxhash64("fp")).limit(sample_rows).select("vec").toPandas()
@@ -202,9 +229,10 @@ def most_similar(vectors: DataFrame, k: int = 5, dim: int = 384, list_size: int
     count = int(min(max_centroids, max(1, n // list_size), max(1, len(x))))
     graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(x, count)))
 
-    posted = reps.mapInArrow(_assigned(graph, dim, replicas, ratio), "list long, fp binary, least_id string, vec binary")
-    sizes = posted.groupBy("list").agg(F.count("*").alias("_n")).where(F.col("_n") > block).select("list", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
-    posted = posted.join(F.broadcast(sizes), "list", "left")  # at most max_centroids rows
+    # assigned once; sizes of the lists are read from the column of lists alone
+    posted = stored(reps.mapInArrow(_assigned(graph, dim, replicas, ratio), "fp binary, least_id string, code binary, lists array<long>"))
+    sizes = posted.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("_n")).where(F.col("_n") > block).select("list", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    posted = posted.select(F.explode("lists").alias("list"), "fp", "least_id", "code").join(F.broadcast(sizes), "list", "left")  # at most max_centroids rows
     own = F.pmod(F.xxhash64("fp"), F.col("_blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("_blocks") - 1)
     places = F.when(F.col("_blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("asks"), F.lit(True).alias("gives")))).otherwise(
@@ -213,7 +241,7 @@ def most_similar(vectors: DataFrame, k: int = 5, dim: int = 384, list_size: int
             F.transform(F.filter(every, lambda i: i != own), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("gives"))),
         )
     )
-    placed = posted.withColumn("_p", F.explode(places)).select("list", "_p.*", "fp", "least_id", "vec")
+    placed = posted.withColumn("_p", F.explode(places)).select("list", "_p.*", "fp", "least_id", "code")
     found = placed.groupBy("list", "i", "j").applyInPandas(_within(dim, k), "fp binary, near binary, similarity double")
     found = found.groupBy("fp", "near").agg(F.max("similarity").alias("similarity"))
     ids = least.select(F.col("fp").alias("near"), "least_id")
@@ -221,7 +249,7 @@ def most_similar(vectors: DataFrame, k: int = 5, dim: int = 384, list_size: int
 
     # from classes to vectors: of each class, own or near, only the k + 1 smallest ids can be among the k
     few = members.withColumn("_r", F.row_number().over(Window.partitionBy("fp").orderBy("id"))).where(F.col("_r") <= k + 1).groupBy("fp").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    copies = least.where("copies > 1").select("fp", F.col("fp").alias("near"), F.lit(1.0).alias("similarity"))
+    copies = copies_of.select("fp", F.col("fp").alias("near"), F.lit(1.0).alias("similarity"))
     near = ranked.unionByName(copies).join(few.withColumnRenamed("fp", "near"), "near").groupBy("fp").agg(F.collect_list(F.struct("similarity", "ids")).alias("near"))
     offers = members.join(near, "fp").select("id", F.explode("near").alias("_n")).select("id", "_n.similarity", F.explode("_n.ids").alias("near_id")).where("id <> near_id")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("similarity", 12).desc(), "near_id"))

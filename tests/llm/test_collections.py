@@ -132,6 +132,24 @@ def test_neighbours_recall(spark, block):
     assert all(got[f"same{i:02}"] == want[f"same{i:02}"] for i in range(30))
 
 
+def test_codes_keep_similarities():
+    x = np.random.default_rng(0).normal(size=(50, 384)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    back = neighbours.decoded(neighbours.coded(x), 384)
+    assert np.abs(back @ back.T - x @ x.T).max() < 5e-6
+
+
+def test_lists_are_balanced():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(3000, 16)) * 0.2 + rng.normal(size=16), rng.normal(size=(500, 16))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = neighbours.balanced_centroids(x, 60)
+    sizes = np.bincount((x @ c.T).argmax(axis=1), minlength=len(c))
+    assert sizes.max() <= 2 * len(x) / 60 + 1 and len(c) <= 120
+    same = neighbours.balanced_centroids(np.repeat(x[:1], 500, axis=0), 20)  # nothing to tell apart
+    assert np.isfinite(same).all()
+
+
 def test_neighbours_of_few(spark):
     schema = "id string, at timestamp_ntz, embedding array<float>"
     assert neighbours.most_similar(spark.createDataFrame([], schema), dim=2).count() == 0
