@@ -49,7 +49,7 @@ def _matrix(values, dim: int) -> np.ndarray:
 
 
 def coded(x: np.ndarray) -> list[bytes]:
-    """Rows as a scale and 16-bit numbers, half the bytes; similarities keep about six places."""
+    """Rows as a scale and 16-bit numbers, half the bytes; similarities are right to about 0.00001."""
     top = np.abs(x).max(axis=1, keepdims=True)
     codes = np.rint(x / top * 32767).astype("<i2")
     scales = (top[:, 0] / 32767).astype("<f4")

@@ -80,7 +80,7 @@ def p6_redacted(spark, d):
 
 def p7_neighbours(spark, d):
     v = table(spark, d, "embedded_chunks").select(F.col("chunk_id").alias("id"), F.col("embedded_at").alias("at"), "embedding")
-    return neighbours.most_similar(v).select(F.col("id").alias("chunk_id"), F.col("near_id").alias("near_chunk_id"), F.round("similarity", 6).alias("similarity"), "rank")
+    return neighbours.most_similar(v).select(F.col("id").alias("chunk_id"), F.col("near_id").alias("near_chunk_id"), F.round("similarity", 5).alias("similarity"), "rank")
 
 
 def p7_found(spark, d):

@@ -136,7 +136,7 @@ def test_codes_keep_similarities():
     x = np.random.default_rng(0).normal(size=(50, 384)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     back = neighbours.decoded(neighbours.coded(x), 384)
-    assert np.abs(back @ back.T - x @ x.T).max() < 5e-6
+    assert np.abs(back @ back.T - x @ x.T).max() < 2e-5
 
 
 def test_lists_are_balanced():
