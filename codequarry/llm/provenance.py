@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import columns_or_null, cut_lineage, newest, struct_of
+from codequarry.llm.common import columns_or_null, cut_lineage, newest, stored, struct_of
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 PRIOR = (2.0, 0.0, 0.0, 0.0, 0.0)
@@ -33,8 +34,6 @@ VENDOR_DIRS = frozenset("vendor vendored third_party thirdparty third-party 3rdp
 GENERATED_DIRS = frozenset("gen generated autogen auto_generated __generated__ _generated generated-sources generated_src".split())
 MINIFIED_DIRS = frozenset("dist min minified".split())
 
-BROADCAST_LINES = 200_000
-
 # --- evidence of a text ----------------------------------------------------------------------------
 
 _COMMENT_HEAD = re.compile(r"\A(?:\s|#![^\n]*\n|['\"]use strict['\"];?|<\?xml[^>]*>|<!--[\s\S]*?-->|/\*[\s\S]*?(?:\*/|\Z)|(?://|#|--|;|%)[^\n]*(?:\n|\Z)|\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z))+")
@@ -90,7 +89,7 @@ def evidence(text: str) -> tuple:
     return len(text), dense, min(data, len(text)), lines, min(counted, lines), int(generated), int(third), int(by_hand)
 
 
-_FIELDS = ("chars", "dense", "data", "lines", "counted", "generated", "third", "by_hand")
+_FIELDS = ("chars", "dense", "data", "code_lines", "counted", "generated", "third", "by_hand")
 
 
 @F.pandas_udf(struct_of(**{f: "long" for f in _FIELDS}))
@@ -104,29 +103,30 @@ def _line_hashes(text: Column, least: int = 24) -> Column:
     return F.transform(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: F.length(x) >= least), lambda x: F.xxhash64(x))
 
 
-def upstream_overlap(chunks: DataFrame, upstream: DataFrame, shared_by: int = 3) -> DataFrame:
-    """project_id, file_path, matched: most lines of a file that one known third-party file has too
-    (lines found in more than ``shared_by`` of the known files tell nothing)."""
-    known = columns_or_null(upstream, upstream_id="string", text="string").select("upstream_id", F.explode(F.array_distinct(_line_hashes(F.col("text")))).alias("_line"))
-    known = known.join(known.groupBy("_line").agg(F.countDistinct("upstream_id").alias("_n")).where(F.col("_n") <= shared_by), "_line").select("_line", "upstream_id").distinct()
-    known = cut_lineage(known)
-    if known.count() <= BROADCAST_LINES:  # about 10 MB
-        known = F.broadcast(known)
-    lines = chunks.select("project_id", "file_path", "chunk_id", "ingested_at", F.explode(_line_hashes(F.col("text"))).alias("_line"))
-    return lines.join(known, "_line").groupBy("project_id", "file_path", "chunk_id", "ingested_at", "upstream_id").agg(F.count("*").alias("matched"))
+def upstream_overlap(told: DataFrame, upstream: DataFrame) -> DataFrame:
+    """project_id, file_path, matched: lines of a file (chunks with ``lines``) that one known third-party file has too, most of any.
+
+    A line counts 1 / the number of packages that have it, so that what many packages share says little and the
+    versions of one package don't weaken each other."""
+    known = columns_or_null(upstream, upstream_id="string", package_name="string", text="string")
+    known = known.select("upstream_id", F.coalesce("package_name", "upstream_id").alias("_package"), F.explode(F.array_distinct(_line_hashes(F.col("text")))).alias("_line")).distinct()
+    weight = known.groupBy("_line").agg((1.0 / F.countDistinct("_package")).alias("_w"))
+    known = stored(known.join(weight, "_line").select("_line", "upstream_id", "_w").distinct())
+    lines = told.select("project_id", "file_path", F.explode("lines").alias("_line"))
+    return lines.join(known, "_line").groupBy("project_id", "file_path", "upstream_id").agg(F.sum("_w").alias("matched")).groupBy("project_id", "file_path").agg(F.max("matched").alias("matched"))
 
 
 def file_evidence(chunks: DataFrame, upstream: DataFrame) -> DataFrame:
     """One row for each file: summed evidence of its newest chunks."""
     c = columns_or_null(chunks, chunk_id="string", project_id="string", file_path="string", language="string", start_line="int", ingested_at="timestamp_ntz", text="string").where("project_id is not null and file_path is not null")
-    told = c.select("project_id", "file_path", "language", "chunk_id", "ingested_at", F.size(F.coalesce(_line_hashes(F.col("text")), F.array().cast("array<bigint>"))).alias("said"), _evidence("text").alias("e")).select("*", "e.*").drop("e")
-    told = cut_lineage(newest(told, ["chunk_id"], "ingested_at"))  # read twice below; the texts are scanned once
-    matched = upstream_overlap(c, upstream)
-    per_chunk = told.select("chunk_id", "ingested_at", "project_id", "file_path")
-    matched = matched.join(per_chunk, ["chunk_id", "ingested_at", "project_id", "file_path"], "left_semi").dropDuplicates(["chunk_id", "upstream_id"]).groupBy("project_id", "file_path", "upstream_id").agg(F.sum("matched").alias("matched")).groupBy("project_id", "file_path").agg(F.max("matched").alias("matched"))
-    sums = [F.sum(f).alias(f) for f in ("chars", "dense", "data", "lines", "counted", "said")] + [F.max(f).alias(f) for f in ("generated", "third", "by_hand")]
-    files = told.groupBy("project_id", "file_path").agg(F.max(F.lower("language")).alias("language"), *sums)
-    return files.join(matched, ["project_id", "file_path"], "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    lines = F.coalesce(_line_hashes(F.col("text")), F.array().cast("array<bigint>"))
+    told = c.select("project_id", "file_path", "language", "chunk_id", "ingested_at", lines.alias("lines"), _evidence("text").alias("e")).select("*", "e.*").drop("e")
+    told = stored(newest(told, ["chunk_id"], "ingested_at"))  # read twice below, by columns; the texts are scanned once
+    matched = upstream_overlap(told, upstream)
+    sums = [F.sum(f).alias(f) for f in ("chars", "dense", "data", "lines", "counted")] + [F.max(f).alias(f) for f in ("generated", "third", "by_hand")]
+    files = told.withColumn("said", F.size("lines").cast("long")).withColumnRenamed("lines", "_lines").withColumnRenamed("code_lines", "lines")
+    files = files.groupBy("project_id", "file_path").agg(F.max(F.lower("language")).alias("language"), F.sum("said").alias("said"), *sums)
+    return files.join(matched, ["project_id", "file_path"], "left").withColumn("matched", F.coalesce("matched", F.lit(0.0)))
 
 
 def _own(files: DataFrame) -> list[Column]:
@@ -154,32 +154,37 @@ def _dir_own(last: Column) -> list[Column]:
     return [F.lit(3.0), on(low.isin(*GENERATED_DIRS), 10) - 4, on(low.isin(*MINIFIED_DIRS), 8) - 4, on(low.isin(*VENDOR_DIRS), 60), F.lit(-6.0)]
 
 
-def _log_sum(terms: list[Column]) -> Column:
-    top = F.greatest(*terms)
-    total = F.exp(terms[0] - top)
-    for t in terms[1:]:
-        total = total + F.exp(t - top)
-    return top + F.log(total)
+def _message(vector: Column, matrix) -> Column:
+    """log of the sums over a vector of log-probabilities, one for each row of the matrix.
 
+    Arrays and lambdas keep the generated code small, and terms are added up in one pass."""
+    rows = F.array(*[F.array(*[F.lit(x) for x in row]) for row in matrix])
+    add = lambda a, t: F.greatest(a, t) + F.log1p(F.exp(-F.abs(a - t)))
+    return F.transform(rows, lambda row: F.reduce(F.zip_with(row, vector, lambda a, b: a + b), F.lit(-1e300), add))
 
-def _up(vector: list[Column]) -> list[Column]:
+
+def _up(vector: Column) -> Column:
     """Message of an entry to its directory."""
-    return [_log_sum([F.lit(COMPATIBLE[p][c]) + vector[c] for c in range(len(LABELS))]) for p in range(len(LABELS))]
+    return _message(vector, COMPATIBLE)
 
 
-def _down(vector: list[Column]) -> list[Column]:
+def _down(vector: Column) -> Column:
     """Message of a directory, given its belief without the entry, to the entry."""
-    return [_log_sum([F.lit(COMPATIBLE[p][c]) + vector[p] for p in range(len(LABELS))]) for c in range(len(LABELS))]
+    return _message(vector, tuple(zip(*COMPATIBLE)))
+
 
+def _plus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
 
-def _named(prefix: str, columns: list[Column]) -> list[Column]:
-    """Columns prefix0..prefix4, shifted so that the greatest is 0 (messages have no scale)."""
-    top = F.greatest(*columns)
-    return [(c - top).alias(f"{prefix}{i}") for i, c in enumerate(columns)]
 
+def _minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
 
-def _vector(prefix: str) -> list[Column]:
-    return [F.col(f"{prefix}{i}") for i in range(len(LABELS))]
+
+def _summed(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """Vectors added up by key, partially before the shuffle."""
+    sums = rows.groupBy(*keys).agg(*[F.sum(F.col(vector)[i]).alias(f"_{i}") for i in range(len(LABELS))])
+    return sums.select(*keys, F.array(*[f"_{i}" for i in range(len(LABELS))]).alias(vector))
 
 
 def classify_files(chunks: DataFrame, upstream: DataFrame) -> DataFrame:
@@ -197,53 +202,38 @@ def classify_files(chunks: DataFrame, upstream: DataFrame) -> DataFrame:
     files = file_evidence(chunks, upstream)
     parts = F.split("file_path", "/")
     depth = F.size(parts) - 1
-    own = _own(files)
-    files = cut_lineage(files.select("project_id", "file_path", F.concat_ws("/", F.slice(parts, 1, F.greatest(depth, F.lit(0)))).alias("dir"), depth.alias("depth"), *[c.cast("double").alias(f"o{i}") for i, c in enumerate(own)]))
-    up = [f"u{i}" for i in range(len(LABELS))]
-    sums = [F.sum(u).alias(u) for u in up]
+    files = files.select("project_id", "file_path", F.concat_ws("/", F.slice(parts, 1, F.greatest(depth, F.lit(0)))).alias("dir"), depth.alias("depth"), F.array(*[c.cast("double") for c in _own(files)]).alias("own"))
+    files = stored(files.withColumn("up", _up(F.col("own"))))
 
     # messages of files to their directories; the directories of all levels
-    sent = files.select("project_id", "dir", "depth", *_named("u", _up(_vector("o")))).groupBy("project_id", "dir", "depth").agg(*sums)
-    sent = cut_lineage(sent)
-    deepest = sent.agg(F.max("depth")).first()[0] or 0
+    sent = stored(_summed(files, ["project_id", "dir", "depth"], "up"))
+    deepest = sent.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return files.select("project_id", "file_path", F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("confidence"))
+    parent = F.when(F.col("dir").contains("/"), F.regexp_replace("dir", "/[^/]*$", "")).otherwise("")
     levels: dict[int, DataFrame] = {}
     below: DataFrame | None = None
     for level in range(deepest, -1, -1):
-        at = sent.where(F.col("depth") == level).drop("depth")
+        at = sent.where(F.col("depth") == level).select("project_id", "dir", "up")
         if below is not None:
-            at = at.unionByName(below)
-        at = at.groupBy("project_id", "dir").agg(*sums)
+            at = _summed(at.unionByName(below), ["project_id", "dir"], "up")
         last = F.element_at(F.split("dir", "/"), -1)
-        local = [a + b for a, b in zip(_vector("u"), _dir_own(last))]
-        at = at.select("project_id", "dir", *[c.alias(f"b{i}") for i, c in enumerate(local)])
-        at = at.select("*", *_named("m", _up(_vector("b"))))
-        levels[level] = at = cut_lineage(at)
-        parent = F.when(F.col("dir").contains("/"), F.regexp_replace("dir", "/[^/]*$", "")).otherwise("")
-        below = at.select("project_id", parent.alias("dir"), *[F.col(f"m{i}").alias(f"u{i}") for i in range(len(LABELS))])
+        at = at.select("project_id", "dir", _plus(F.col("up"), F.array(*[c.cast("double") for c in _dir_own(last)])).alias("belief"))
+        levels[level] = at = cut_lineage(at.withColumn("up", _up(F.col("belief"))))
+        below = at.select("project_id", parent.alias("dir"), "up")
 
     # beliefs of directories, from the roots down
-    beliefs = [levels[0].select("project_id", "dir", *_vector("b"))] if 0 in levels else []
+    beliefs = [levels[0].select("project_id", "dir", "belief")]
     for level in range(1, deepest + 1):
-        parent = F.when(F.col("dir").contains("/"), F.regexp_replace("dir", "/[^/]*$", "")).otherwise("")
-        above = beliefs[-1].select("project_id", F.col("dir").alias("_parent"), *[F.col(f"b{i}").alias(f"p{i}") for i in range(len(LABELS))])
+        above = beliefs[-1].select("project_id", F.col("dir").alias("_parent"), F.col("belief").alias("_above"))
         here = levels[level].withColumn("_parent", parent).join(above, ["project_id", "_parent"])
-        down = _down([F.col(f"p{i}") - F.col(f"m{i}") for i in range(len(LABELS))])
-        here = here.select("project_id", "dir", *_vector("b"), *_named("d", down))
-        beliefs.append(cut_lineage(here.select("project_id", "dir", *[(F.col(f"b{i}") + F.col(f"d{i}")).alias(f"b{i}") for i in range(len(LABELS))])))
-    if not beliefs:
-        return files.select("project_id", "file_path", F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("confidence"))
-    dirs = beliefs[0]
-    for b in beliefs[1:]:
-        dirs = dirs.unionByName(b)
+        beliefs.append(cut_lineage(here.select("project_id", "dir", _plus(F.col("belief"), _down(_minus(F.col("_above"), F.col("up")))).alias("belief"))))
+    dirs = reduce(DataFrame.unionByName, beliefs)
 
     # and down to the files
-    sent_up = files.select("*", *_named("u", _up(_vector("o"))))
-    joined = sent_up.join(dirs, ["project_id", "dir"])
-    down = _down([F.col(f"b{i}") - F.col(f"u{i}") for i in range(len(LABELS))])
-    out = joined.select("project_id", "file_path", *[F.col(f"o{i}") for i in range(len(LABELS))], *_named("d", down))
-    score = [F.col(f"o{i}") + F.col(f"d{i}") for i in range(len(LABELS))]
-    best = F.greatest(*score)
-    label = F.lit(LABELS[-1])
-    for i in range(len(LABELS) - 2, -1, -1):
-        label = F.when(score[i] == best, F.lit(LABELS[i])).otherwise(label)
-    return out.select("project_id", "file_path", label.alias("label"), F.round(F.exp(best - _log_sum(score)), 4).alias("confidence"))
+    joined = files.join(dirs, ["project_id", "dir"])
+    scored = joined.select("project_id", "file_path", _plus(F.col("own"), _down(_minus(F.col("belief"), F.col("up")))).alias("_s"))
+    best = F.array_max("_s")
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), F.array_position("_s", best).cast("int"))
+    total = _message(F.col("_s"), [(0.0,) * len(LABELS)])[0]
+    return scored.select("project_id", "file_path", label.alias("label"), F.round(F.exp(best - total), 4).alias("confidence"))

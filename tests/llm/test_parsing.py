@@ -269,3 +269,12 @@ def test_provenance_of_deep_directories(spark):
     upstream = spark.createDataFrame([], "upstream_id long, package_name string, version string, file_name string, language string, text string")
     got = {r["file_path"].split("/")[14]: r["label"] for r in provenance.classify_files(chunks, upstream).collect()}
     assert got["node_modules"] != "handwritten" and got["src"] == "handwritten"
+
+
+def test_versions_of_a_package_do_not_hide_each_other(spark):
+    library = "\n".join(f"def step_{i}(value_of_{i}, option_{i}):\n    return compute_{i}(value_of_{i}) + option_{i}" for i in range(20))
+    upstream = spark.createDataFrame([(i, "lib", f"1.{i}", library + f"\nversion_of_this_file = {i}") for i in range(6)], "upstream_id long, package_name string, version string, text string")
+    rows = [("c1", "p", "core/own.py", "python", 1, dt.datetime(2025, 1, 1), library), ("c2", "p", "core/mine.py", "python", 1, dt.datetime(2025, 1, 1), "def total(items):\n    return sum(item.price for item in items)\n")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, project_id string, file_path string, language string, start_line int, ingested_at timestamp_ntz, text string")
+    got = {r["file_path"]: r["label"] for r in provenance.classify_files(chunks, upstream).collect()}
+    assert got == {"core/own.py": "vendored", "core/mine.py": "handwritten"}
