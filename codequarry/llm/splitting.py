@@ -20,7 +20,6 @@ _CLOSES = re.compile(r"[ \t]*(?:[)}\]]|</|end\b|else\b|elif\b|except\b|finally\b
 _OPENS = re.compile(r"[ \t]*(?:@|//|/\*|#|(?:export |public |private |protected |static |async |abstract |final )*(?:def|class|function|func|type|interface|enum|struct)\b)")
 _SENTENCE = re.compile(r"(?<=[.!?;])[ \t]+(?=\S)|(?<=[;{}])(?=\S)")
 _WORD = re.compile(r"(?<=[\s,;(){}\[\]>])(?=\S)")
-DEEPEST = 60
 
 
 def boundaries(text: str, prose: bool) -> list[tuple[int, int]]:
@@ -35,16 +34,16 @@ def boundaries(text: str, prose: bool) -> list[tuple[int, int]]:
             indent = len((lead := line[: len(line) - len(line.lstrip())]).expandtabs(4)) if line[0] in " \t" else 0
             if prose:
                 heading = None if fenced else _HEADING.match(line)
-                level = len(heading[1]) if heading else 10 if blank and not indent else 12 + min(indent, 20) if _ITEM.match(line) else 36 if blank else 40
+                level = len(heading[1]) if heading else 10 if blank and not indent else 12 + indent if _ITEM.match(line) else 10**6 if blank else 10**6 + 4
                 if line.lstrip().startswith(("```", "~~~")):
                     fenced = not fenced
-                    level = 10 if fenced else 45
+                    level = 10 if fenced else 10**6 + 9
                 elif fenced:
-                    level = 45
+                    level = 10**6 + 9
             else:
-                level = 2 * min(indent, 24) + (0 if blank or _OPENS.match(line) else 1)
+                level = 2 * indent + (0 if blank or _OPENS.match(line) else 1)
                 if _CLOSES.match(line):
-                    level = min(DEEPEST, level + 8)
+                    level += 8
             if at:
                 found.append((at, level))
             blank = False
@@ -88,7 +87,7 @@ def pack(text: str, limit: int, prose: bool) -> list[tuple[int, int]]:
         for a, b in zip(edges, edges[1:]):
             if b - a > limit:
                 pieces += node(a, b)
-                open_to_merge = False
+                open_to_merge = True  # its last piece may take the next siblings along
             elif open_to_merge and b - pieces[-1][0] <= limit:
                 pieces[-1] = (pieces[-1][0], b)
             else:
@@ -103,7 +102,7 @@ def split(text: str, size: int, overlap: int, prose: bool = False) -> list[tuple
     """Spans (start, end) of the pieces, each of at most ``size`` characters; every piece but the first
     starts at the natural boundary nearest to ``overlap`` characters before the end of the piece before."""
     size = max(1, size)
-    overlap = min(max(0, overlap), size // 2)
+    overlap = min(max(0, overlap), size - 1)
     cores = pack(text, size - overlap, prose)
     if not overlap or len(cores) < 2:
         return cores
@@ -154,7 +153,7 @@ def split_oversized(chunks: DataFrame, settings: DataFrame, default_size: int =
     (0-based, end excluded), start_line, end_line, piece.  A chunk within the limit gives no row.
     The text is read as a tree (headings, paragraphs and lists in prose; indentation in code); sibling
     subtrees are merged up to the limit and only oversized nodes are opened.  Pieces cover the text;
-    each has at most chunk_size characters.  Overlap is bounded by half of the size.
+    each has at most chunk_size characters.  An overlap of the size or more counts as one less than the size.
 
     The newest row of a chunk_id counts; null settings are taken from row ``*`` and, where that is
     null or missing, from the parameters; a null start_line counts as 1; null texts give no row; a
