@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import columns_or_null, cut_lineage, newest, stored, struct_of
+from codequarry.llm.common import columns_or_null, newest, stored, struct_of
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 PRIOR = (2.0, 0.0, 0.0, 0.0, 0.0)
@@ -219,7 +219,7 @@ def classify_files(chunks: DataFrame, upstream: DataFrame) -> DataFrame:
             at = _summed(at.unionByName(below), ["project_id", "dir"], "up")
         last = F.element_at(F.split("dir", "/"), -1)
         at = at.select("project_id", "dir", _plus(F.col("up"), F.array(*[c.cast("double") for c in _dir_own(last)])).alias("belief"))
-        levels[level] = at = cut_lineage(at.withColumn("up", _up(F.col("belief"))))
+        levels[level] = at = stored(at.withColumn("up", _up(F.col("belief"))))
         below = at.select("project_id", parent.alias("dir"), "up")
 
     # beliefs of directories, from the roots down
@@ -227,7 +227,7 @@ def classify_files(chunks: DataFrame, upstream: DataFrame) -> DataFrame:
     for level in range(1, deepest + 1):
         above = beliefs[-1].select("project_id", F.col("dir").alias("_parent"), F.col("belief").alias("_above"))
         here = levels[level].withColumn("_parent", parent).join(above, ["project_id", "_parent"])
-        beliefs.append(cut_lineage(here.select("project_id", "dir", _plus(F.col("belief"), _down(_minus(F.col("_above"), F.col("up")))).alias("belief"))))
+        beliefs.append(stored(here.select("project_id", "dir", _plus(F.col("belief"), _down(_minus(F.col("_above"), F.col("up")))).alias("belief"))))
     dirs = reduce(DataFrame.unionByName, beliefs)
 
     # and down to the files
