@@ -54,21 +54,37 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[str] = []
 
 
 def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """``df`` written as Parquet beside the checkpoints and read again: lineage is cut, columns are read one by
-    one and, with ``by``, so are the parts of a low-cardinality column.  ``release()`` removes the files."""
+    one and, with ``by``, so are the parts of a low-cardinality column.  What was shuffled for it is removed as soon as it
+    is written; ``release()`` removes the files."""
     spark = df.sparkSession
     folder = shared_folder(spark)
     path = f"{folder if ':/' in folder else 'file://' + folder}/table-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # else shuffle files stay until the driver happens to collect its garbage
+    try:
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a ``stored()`` table that nothing reads any more."""
+    names = {part for file in df.inputFiles() for part in file.split("/") if part.startswith("table-")}
+    for path in [p for p in _written if p.rpartition("/")[2] in names]:
+        _written.remove(path)
+        files, folder = pyarrow.fs.FileSystem.from_uri(path)
+        files.delete_dir(folder)
+
+
 def release() -> None:
     """Removes the tables of ``stored()``; results that still read them can't be read afterwards."""
     while _written:

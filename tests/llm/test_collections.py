@@ -3,10 +3,11 @@ import inspect
 import itertools
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
-from codequarry.llm import mixing, neardup, neighbours, packing, subjects, tokens
+from codequarry.llm import common, mixing, neardup, neighbours, packing, subjects, tokens
 from pyspark.sql import functions as F
 
 T0 = dt.datetime(2025, 1, 1)
@@ -89,6 +90,11 @@ def test_near_duplicates_by_every_route(spark, monkeypatch):
     assert plain <= want and len(want - plain) <= 0.005 * len(want)
 
 
+def shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for folder in folders for f in Path(folder).rglob("shuffle_*.data")}
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id string, text string")
     near = neardup.NearDuplicates(df)
@@ -132,6 +138,32 @@ def test_neighbours_recall(spark, block):
     assert all(got[f"same{i:02}"] == want[f"same{i:02}"] for i in range(30))
 
 
+def test_neighbours_disk(spark, monkeypatch):
+    """A vector is sent once to a group of lists, turns remove what they shuffled, and tables go as soon as nothing reads them."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 64))[rng.integers(40, size=3000)] + 0.6 * rng.normal(size=(3000, 64))
+    df = spark.createDataFrame([(f"v{i:04}", T0, v.tolist()) for i, v in enumerate(x)], "id string, at timestamp_ntz, embedding array<float>").repartition(3)
+    monkeypatch.setattr(neighbours, "TURN", 1_000, raising=False)
+    before, tables = shuffle_files(spark), set(common._written)
+    near = neighbours.most_similar(df, k=5, dim=64, list_size=40)
+    coded = 3000 * (4 + 2 * 64)
+    left = sum(f.stat().st_size for f in shuffle_files(spark) - before)
+    kept = sum(f.stat().st_size for path in set(common._written) - tables for f in Path(path.removeprefix("file://")).rglob("*.parquet"))
+    assert left < 0.1 * coded and kept < 3 * coded
+    assert near.count() >= 14_900
+
+
+def test_lists_are_grouped():
+    rng = np.random.default_rng(1)
+    c = rng.normal(size=(200, 16)).astype(np.float32)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    sizes = rng.integers(0, 400, 200)
+    groups = neighbours.grouped(c, sizes, 2_000)
+    loads = np.bincount(groups, weights=sizes)
+    assert len(groups) == 200 and loads.max() <= 2_000 and len(loads) < 60
+    assert len(set(neighbours.grouped(np.repeat(c[:1], 9, axis=0), np.full(9, 5_000), 2_000))) == 9
+
+
 def test_codes_keep_similarities():
     x = np.random.default_rng(0).normal(size=(50, 384)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
