@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import TYPES, cut_lineage, newest, stored, struct_of
+from codequarry.llm.common import TYPES, cut_lineage, discard, newest, stored, struct_of
 
 _WORDS = re.compile(r"[a-z0-9_]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -181,18 +181,20 @@ class NearDuplicates:
         wanted = F.coalesce(F.col("wanted"), F.lit(False)) if "wanted" in has else F.lit(True)
         d = records.where("id is not null").select("id", at, _described(k, least_words)(F.when(wanted, F.col("text"))).alias("_d")).select("id", "at", "_d.*")
         d = newest(d, ["id"], "at", tie=["fp"]).where("fp is not null").select("id", "fp", "shingles")
-        d = cut_lineage(d)
+        d = stored(d)
         self.members = d.select("fp", "id")
         classes = d.select("fp", "shingles").dropDuplicates(["fp"]).withColumn("cid", F.xxhash64("fp"))
         n = d.count()
         part = min(1.0, order_sample / max(1, n))
         sample = d.select("fp", "shingles").where(F.abs(F.xxhash64("fp")) % 1_000_000 < int(part * 1_000_000)).dropDuplicates(["fp"]).select("shingles")
-        counts = sample.mapInPandas(_all_elements(coordinates), "element long").groupBy("element").count().where("count >= 5").orderBy(F.desc("count"), "element").limit(order_values).collect()
-        heavy = {r["element"]: r["count"] for r in counts}
+        counts = stored(sample.mapInPandas(_all_elements(coordinates), "element long").groupBy("element").count().where("count >= 5"))
+        heavy = {r["element"]: r["count"] for r in counts.orderBy(F.desc("count"), "element").limit(order_values).collect()}
+        discard(counts)
         hot_from = max(5.0, hot * part) if collisions == 3 else float("inf")
         posted = stored(classes.select("cid", "shingles").mapInPandas(_posted(coordinates, coordinates - m + collisions, heavy, hot_from), "element long, cid long"))
         met = posted.alias("a").join(posted.alias("b"), "element").where("a.cid < b.cid").select(F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b"))
-        pairs = cut_lineage(met.groupBy("cid_a", "cid_b").agg(F.count("*").alias("n")).where(F.col("n") >= collisions).select("cid_a", "cid_b"))
+        pairs = stored(met.groupBy("cid_a", "cid_b").agg(F.count("*").alias("n")).where(F.col("n") >= collisions).select("cid_a", "cid_b"))
+        discard(posted)
         ids = pairs.select(F.col("cid_a").alias("cid")).unionByName(pairs.select(F.col("cid_b").alias("cid"))).distinct()
         few = 2 * pairs.count() <= self.BROADCAST_IDS
         some = d.withColumn("cid", F.xxhash64("fp")).join(F.broadcast(ids) if few else ids, "cid", "left_semi").select("cid", "fp", "shingles").dropDuplicates(["fp"])

@@ -95,6 +95,16 @@ def shuffle_files(spark):
     return {f for folder in folders for f in Path(folder).rglob("shuffle_*.data")}
 
 
+def test_near_duplicates_leave_no_shuffle_files(spark):
+    words = [f"w{i}" for i in range(300)]
+    df = spark.createDataFrame([(f"d{i:03}", " ".join(random.Random(i // 2).choices(words, k=60))) for i in range(200)], "id string, text string").repartition(3)
+    before = shuffle_files(spark)
+    near = neardup.NearDuplicates(df, similarity=0.7, k=3, least_words=30)
+    left = sum(f.stat().st_size for f in shuffle_files(spark) - before)
+    assert left < 5_000  # counts and samples; shingles and postings take more than that
+    assert near.pairs().count() == 100
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id string, text string")
     near = neardup.NearDuplicates(df)
