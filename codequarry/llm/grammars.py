@@ -88,7 +88,7 @@ class BracketGrammar:
         self.never = re.compile(never).search if never else lambda s: None
         # a token takes the white space before it along; what is no token is bad
         self.scan = re.compile(rf"{blank}*+(?:{scanner}|(?P<bad>.))", re.S).finditer
-        self.last = _LAST.setdefault(scanner, [None, None])  # grammars with the same scanner read a text once
+        self.last = _LAST.setdefault(scanner, [None, {}])  # grammars with the same scanner read a text once
         self.kinds, self.keywords, self.newlines = kinds, keywords, newlines
         self.roles = roles
         made = {k: {n: self.listed(named.compile(p)) if n in ("block", "plain", "class") else named.compile(p) for n, p in rs.items()} for k, rs in rules.items()}
@@ -143,12 +143,17 @@ class BracketGrammar:
 
     def lex(self, text: str, most: int | None = None) -> str:
         """One character for each token (of the first ``most``)."""
-        if self.last[0] != (text, most):
-            self.last[:] = [(text, most), None]
-            self.last[1] = self._tokens(text, most)
-        if self.last[1] is None:
+        if self.last[0] != text:
+            self.last[:] = [text, {}]
+        read = self.last[1]  # the first tokens and all of them are kept side by side; the scan goes on where it stopped
+        if most not in read:
+            begun = read.setdefault("begun", (self.scan(text), [], [], []))
+            read[most] = None
+            self._tokens(*begun, most)
+            read[most] = [part.copy() for part in begun[1:]]
+        if read[most] is None:
             raise LexError(text)
-        kinds, words, templates = self.last[1]
+        kinds, words, templates = read[most]
         for t in templates:
             self.template(t)
         out, keywords = kinds.copy(), self.keywords
@@ -157,14 +162,16 @@ class BracketGrammar:
                 out[place] = keywords[word]
         return "".join(out)
 
-    def _tokens(self, text: str, most: int | None) -> tuple[list[str], list[tuple[int, str]], list[str]]:
-        """(characters of the tokens, places of words and the words, template literals)."""
-        out, words, templates, kinds = [], [], [], self.kinds
-        for m in self.scan(text) if most is None else islice(self.scan(text), most):
+    def _tokens(self, scan, out: list[str], words: list[tuple[int, str]], templates: list[str], most: int | None) -> None:
+        """Adds the characters of the tokens, places of words and the words, template literals; brackets that follow each other have one place."""
+        kinds = self.kinds
+        for m in scan if most is None else islice(scan, most):
             kind = m.lastgroup
-            if kind == "word":
+            if kind == "name" or kind == "word":
                 words.append((len(out), m[kind]))
                 out.append("i")
+            elif kind == "mark":
+                out.append(m[kind])
             elif kind == "punct":
                 token = m[kind]
                 out.append(kinds.get(token) or token)
@@ -178,13 +185,17 @@ class BracketGrammar:
                 raise LexError(m[kind])
             elif kind != "space":
                 out.append(kinds[kind])
-        return out, words, templates
 
     def template(self, text: str) -> None:
         """The parts of a template literal in ${ } have to be expressions."""
         for m in re.finditer(r"(?<!\\)\$\{((?:[^{}`]|\{[^{}]*\})*)\}", text):
             if not self.words.get(m[1]):
-                inner = self.reduce(self.newlines(f"({self.lex(m[1])})"))
+                outer = self.last.copy()
+                try:
+                    inner = self.lex(m[1])
+                finally:
+                    self.last[:] = outer
+                inner = self.reduce(self.newlines(f"({inner})"))
                 if len(inner) != 1 or not re.match(self.roles["("]["expr"], inner):
                     raise LexError(m[1])
                 if len(self.words) < MEMO_LIMIT:
@@ -236,6 +247,8 @@ def _words(spec: str) -> dict[str, str]:
     return {w: line.split()[0] for line in spec.strip().splitlines() for w in line.split()[1:]}
 
 
+#: Tried first, as most tokens are one of these: marks that begin no other token, and names that begin with an ASCII letter.
+_MARK = r"(?P<mark>[,;(){}\[\]]+|=(?![=>]))|"
 _NOTE = r"(?P<note>//[^\n]*|/\*.*?\*/)"
 _SPACE = r"(?P<space>[ \t\r\f\v ﻿  ]+)"
 
@@ -244,8 +257,7 @@ def _ecma(ts: bool) -> BracketGrammar:
     P, S, B = Roles(0xE000, "args expr params for type"), Roles(0xE100, "array index empty type"), Roles(0xE200, "block object class switch names shape enum plain turn")
     named = Rules()
     scanner = (
-        r"(?P<nl>\n[\s]*)|" + _SPACE + "|" + _NOTE + r"|(?P<bang>\A#![^\n]*)"
-        r"|(?P<member>(?:\?\.|(?<!\.)\.(?!\.))\s*#?[A-Za-z_$ª-퟿][\w$]*)"
+        r"(?P<name>[A-Za-z_$][\w$]*)|" + _MARK + r"(?P<nl>\n[\s]*)|(?P<member>(?:\?\.|(?<!\.)\.(?!\.))\s*#?[A-Za-z_$ª-퟿][\w$]*)|" + _SPACE + "|" + _NOTE + r"|(?P<bang>\A#![^\n]*)"
         r"|(?P<word>#?[A-Za-z_$ª-퟿\U00010000-\U0001ffff][\w$]*)"
         r"|(?P<num>(?:0[xXbBoO][\da-fA-F_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)n?(?![\w$]))"
         r"|(?P<str>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')"
@@ -402,7 +414,7 @@ def _java() -> BracketGrammar:
     P, S, B = Roles(0xE000, "args expr params for type resources"), Roles(0xE100, "index empty"), Roles(0xE200, "block class switch enum array")
     named = Rules()
     scanner = (
-        r"(?P<space>[\s ﻿]+)|" + _NOTE + r"|(?P<str>\"\"\"[ \t]*\r?\n(?:[^\\\"]|\\.|\"(?!\"\"))*\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\[^u]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3})')"
+        r"(?P<name>(?!non-sealed\b)[A-Za-z_$][\w$]*)|" + _MARK + r"(?P<space>[\s ﻿]+)|" + _NOTE + r"|(?P<str>\"\"\"[ \t]*\r?\n(?:[^\\\"]|\\.|\"(?!\"\"))*\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\[^u]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3})')"
         r"|(?P<member>(?:(?<!\.)\.(?!\.)|::)\s*(?:[A-Za-z_$ª-퟿][\w$]*|\*))"
         r"|(?P<num>(?:0[xX][\da-fA-F_]+|0[bB][01_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[lLfFdD]?(?![\w$]))"
         r"|(?P<seal>non-sealed\b)|(?P<atint>@interface\b)|(?P<deco>@\s*[A-Za-z_$][\w$]*(?:\.[\w$]+)*)"
@@ -508,7 +520,7 @@ def _go() -> BracketGrammar:
     P, S, B = Roles(0xE000, "args expr params imports vars types type"), Roles(0xE100, "index empty params"), Roles(0xE200, "block struct interface literal switch select")
     named = Rules()
     scanner = (
-        r"(?P<nl>\n)|" + _SPACE + "|" + _NOTE + r"|(?P<str>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\[^xuU0-7]|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\[0-7]{3})')"
+        r"(?P<name>[A-Za-z_]\w*)|" + _MARK + r"(?P<nl>\n)|" + _SPACE + "|" + _NOTE + r"|(?P<str>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\[^xuU0-7]|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\[0-7]{3})')"
         r"|(?P<member>(?<!\.)\.(?!\.)\s*[A-Za-z_ª-퟿]\w*)|(?P<skip>(?<!\.)\.(?=\s*\())|(?P<dot>(?<!\.)\.(?=\s*\"))"
         r"|(?P<num>(?:0[xX][\da-fA-F_.]+(?:[pP][+-]?\d+)?|0[bBoO][\d_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)i?(?!\w))"
         r"|(?P<word>[A-Za-z_ª-퟿]\w*)"
@@ -671,9 +683,10 @@ def examine(language: str, text: str) -> tuple[bool, list[str]]:
     if not text.strip():
         good = parses(language, text)
         return good, [language] * good
-    ranked, good = rank_languages(text), set()
-    for other in sorted(ranked, key=lambda x: x == "typescript"):
+    good: set[str] = set()
+    for other in LANGUAGES:
         # plain JavaScript is valid TypeScript: what the one grammar accepts belongs to the other too
         if (other == "typescript" and "javascript" in good) or parses(other, text):
             good.add(other)
+    ranked = rank_languages(text) if len(good) > 1 else good  # nothing to rank in one
     return language in good, [other for other in ranked if other in good]

@@ -278,3 +278,24 @@ def test_versions_of_a_package_do_not_hide_each_other(spark):
     chunks = spark.createDataFrame(rows, "chunk_id string, project_id string, file_path string, language string, start_line int, ingested_at timestamp_ntz, text string")
     got = {r["file_path"]: r["label"] for r in provenance.classify_files(chunks, upstream).collect()}
     assert got == {"core/own.py": "vendored", "core/mine.py": "handwritten"}
+
+
+def test_a_text_is_scanned_once(monkeypatch):
+    """The grammars of one scanner go through a text once, first tokens and template literals included."""
+    text = "".join(f"const a{i} = {{ b: `x${{a{i - 1}}}`, c: [(1)] }};\n" for i in range(1, 60)) + "let z: Map<string, number> = f();\n"
+    scanned = []
+
+    def counted(scan):
+        def run(given):
+            for m in scan(given):
+                if given is text:
+                    scanned.append(m.start())
+                yield m
+
+        return run
+
+    for language in ("javascript", "typescript"):
+        grammar = grammars.bracket_grammar(language)
+        monkeypatch.setattr(grammar, "scan", counted(grammar.scan))
+    assert grammars.examine("typescript", text) == (True, ["typescript"])
+    assert len(scanned) == len(set(scanned)) > 500
