@@ -22,6 +22,7 @@ import warnings
 from collections import Counter
 from functools import lru_cache
 from itertools import islice
+from operator import itemgetter
 
 import regex
 
@@ -34,6 +35,7 @@ ENDINGS = {
 }
 
 MEMO_LIMIT = 200_000
+WORD_LIMIT = 50_000
 
 
 class LexError(ValueError):
@@ -55,13 +57,36 @@ class Roles:
         return "[" + "".join(f"{self.char(m)}-{self.char(m + bit - 1)}" for m in range(bit, 1 << len(self.names), 2 * bit)) + "]"
 
 
-def seq(item: str, sep: str = ",") -> str:
+class Series(str):
+    """A pattern of items with separators that knows its item; ``last`` tells whether a separator may end it."""
+
+    def __new__(cls, pattern: str, item: str, sep: str, last: bool):
+        self = super().__new__(cls, pattern)
+        self.item, self.sep, self.last = item, sep, last
+        return self
+
+
+def seq(item: str, sep: str = ",") -> Series:
     """Zero or more items with separators, one trailing separator allowed."""
-    return f"(?:{item}(?:{sep}{item})*+{sep}?)?"
+    return Series(f"(?:{item}(?:{sep}{item})*+{sep}?)?", item, sep, True)
+
 
+def seq1(item: str, sep: str = ",") -> Series:
+    return Series(f"(?:{item}(?:{sep}{item})*+)", item, sep, False)
 
-def seq1(item: str, sep: str = ",") -> str:
-    return f"(?:{item}(?:{sep}{item})*+)"
+
+class Kinds(dict):
+    """The characters of tokens by their text; a text that is not known yet is looked at by ``kind``."""
+
+    def __init__(self, kind):
+        super().__init__()
+        self.kind = kind
+
+    def __missing__(self, token: str | None) -> str:
+        char = self.kind(token)
+        if len(token) < 40 and len(self) < WORD_LIMIT:
+            self[token] = char
+        return char
 
 
 class Rules(dict):
@@ -69,8 +94,24 @@ class Rules(dict):
 
     def __setitem__(self, name: str, pattern: str) -> None:
         super().__setitem__(name, f"(?&{name})")
+        self.bodies = getattr(self, "bodies", {}) | {name: pattern}
         self.parts = [*getattr(self, "parts", []), f"(?P<{name}>{pattern})"]
 
+    def mentioned(self, pattern: str) -> set[str]:
+        """The characters that the pattern, or one it refers to, has, and at least those: a text with another one can't
+        match (no pattern here takes a character by exclusion, or just any)."""
+        todo, seen, chars = [pattern], set(), set()
+        while todo:
+            text = todo.pop()
+            names = set(re.findall(r"\(\?&(\w+)\)", text)) - seen
+            seen |= names
+            todo += [self.bodies[n] for n in names]
+            plain = re.sub(r"\(\?&\w+\)", "", text)
+            chars |= set(plain)
+            for first, last in re.findall(r"(?=(.)-(.))", plain):
+                chars |= {chr(c) for c in range(ord(first), ord(last) + 1)}
+        return chars
+
     def compile(self, pattern: str):
         return regex.compile(f"(?:{pattern})\\Z(?(DEFINE){''.join(self.parts)})").match
 
@@ -80,23 +121,36 @@ _ALIKE = re.compile("(?<![^,])((?:\\+?[1\"k]|[\ue000-\uefff]),)\\1+")
 
 _LAST: dict[str, list] = {}
 
+#: How many tokens are looked at, one after the other, before all of them.
+FIRST = (8, 64)
+
 
 class BracketGrammar:
     """Scanner, newline rule and role expressions of one language."""
 
     def __init__(self, scanner, kinds, keywords, newlines, roles, named, rules, program, angle=None, never=None, blank=r"[ \t]"):
         self.never = re.compile(never).search if never else lambda s: None
-        # a token takes the white space before it along; what is no token is bad
-        self.scan = re.compile(rf"{blank}*+(?:{scanner}|(?P<bad>.))", re.S).finditer
-        self.last = _LAST.setdefault(scanner, [None, {}])  # grammars with the same scanner read a text once
+        # a token takes the white space before it along; what is no token ends the scan, outside of the group
+        self.scan = re.compile(rf"{blank}*+(?:({re.sub('[(][?]P<[a-z]+>', '(?:', scanner)})|.+)", re.S).finditer
+        self.sort = re.compile(scanner, re.S).fullmatch
+        self.chars = Kinds(self.kind)
+        self.last = _LAST.setdefault(scanner, [None])  # grammars with the same scanner read a text once
         self.kinds, self.keywords, self.newlines = kinds, keywords, newlines
         self.roles = roles
-        made = {k: {n: self.listed(named.compile(p)) if n in ("block", "plain", "class") else named.compile(p) for n, p in rs.items()} for k, rs in rules.items()}
+        made = {k: {n: self.listed(named.compile(p)) if n in ("block", "plain", "class") else self.series(named, p) for n, p in rs.items()} for k, rs in rules.items()}
         if "plain" in made["{"]:
             made["{"]["plain"] = self.outside(made["{"]["block"], made["{"]["plain"])
         bit = lambda k, n: 1 << roles[k].names.index(n)
-        #: (bit of the role, match of the content, bits that the content must have already)
-        self.rules = {k: [(bit(k, n), m, {"plain": bit(k, "block"), "turn": bit(k, "switch")}.get(n, 0) if k == "{" and "plain" in ms else 0) for n, m in ms.items()] for k, ms in made.items()}
+        kinds_of_all = {*keywords.values(), ";"}
+
+        def foreign(pattern: str):
+            others = kinds_of_all - named.mentioned(pattern)
+            return re.compile(f"[{re.escape(''.join(sorted(others)))}]").search if others else lambda s: None
+
+        #: (bit of the role, match of the content, bits that the content must have already, search for what it can't have)
+        self.rules = {
+            k: [(bit(k, n), m, {"plain": bit(k, "block"), "turn": bit(k, "switch")}.get(n, 0) if k == "{" and "plain" in ms else 0, foreign(rules[k][n])) for n, m in ms.items()] for k, ms in made.items()
+        }
         self.program = self.listed(named.compile(program))
         self.angle = re.compile(angle) if angle else None
         self.group = re.compile(r"\(([^][(){}]*)\)|\[([^][(){}]*)\]|\{([^][(){}]*)\}")
@@ -123,11 +177,36 @@ class BracketGrammar:
             return True
 
         def parts(body: str) -> bool:
-            return alone(body) or bool(match(body))
+            return alone(body) or (known.get(body) is None and bool(match(body)))  # what is one part was decided as such
 
         parts.alone = alone
         return parts
 
+    def series(self, named, pattern):
+        """Match for a pattern; one of a series matches, and remembers, every item by itself, and where one
+        doesn't match (an item may have separators in it), the whole decides."""
+        whole = named.compile(pattern)
+        if not isinstance(pattern, Series):
+            return whole
+        item, sep, last = named.compile(pattern.item), pattern.sep, pattern.last
+        known: dict = {}
+
+        def run(body: str) -> bool:
+            items = body.split(sep)
+            if last and not items[-1]:
+                items.pop()
+            for part in {*items} if len(items) > 9 else items:
+                good = known.get(part)
+                if good is None:
+                    good = bool(item(part))
+                    if len(known) < WORD_LIMIT:
+                        known[part] = good
+                if not good:
+                    return bool(whole(body))
+            return True
+
+        return run
+
     def outside(self, block, plain):
         """Whether a block is one outside of functions: without return, in it and in the blocks of its statements."""
         b = self.roles["{"]
@@ -143,48 +222,43 @@ class BracketGrammar:
 
     def lex(self, text: str, most: int | None = None) -> str:
         """One character for each token (of the first ``most``)."""
-        if self.last[0] != text:
-            self.last[:] = [text, {}]
-        read = self.last[1]  # the first tokens and all of them are kept side by side; the scan goes on where it stopped
-        if most not in read:
-            begun = read.setdefault("begun", (self.scan(text), [], [], []))
-            read[most] = None
-            self._tokens(*begun, most)
-            read[most] = [part.copy() for part in begun[1:]]
-        if read[most] is None:
-            raise LexError(text)
-        kinds, words, templates = read[most]
-        for t in templates:
-            self.template(t)
-        out, keywords = kinds.copy(), self.keywords
-        for place, word in words:
-            if word in keywords:
-                out[place] = keywords[word]
-        return "".join(out)
-
-    def _tokens(self, scan, out: list[str], words: list[tuple[int, str]], templates: list[str], most: int | None) -> None:
-        """Adds the characters of the tokens, places of words and the words, template literals; brackets that follow each other have one place."""
-        kinds = self.kinds
-        for m in scan if most is None else islice(scan, most):
-            kind = m.lastgroup
-            if kind == "name" or kind == "word":
-                words.append((len(out), m[kind]))
-                out.append("i")
-            elif kind == "mark":
-                out.append(m[kind])
-            elif kind == "punct":
-                token = m[kind]
-                out.append(kinds.get(token) or token)
-            elif kind == "note":
-                if "\n" in m[kind]:
-                    out.append("\n")
-            elif kind == "tmpl":
-                templates.append(m[kind])
-                out.append("`")
-            elif kind == "bad":
-                raise LexError(m[kind])
-            elif kind != "space":
-                out.append(kinds[kind])
+        last = self.last
+        if last[0] != text:
+            last[:] = [text, [], map(itemgetter(1), self.scan(text))]
+        tokens = last[1]  # those read so far; the scan goes on where it stopped
+        if most is None:
+            tokens += last[2]
+        elif len(tokens) < most:
+            tokens += islice(last[2], most - len(tokens))
+        if most is not None:
+            return "".join(map(self.chars.__getitem__, tokens[:most]))
+        out = "".join(map(self.chars.__getitem__, tokens))
+        if "`" in out:
+            for t in tokens:
+                if t[0] == "`":
+                    self.template(t)
+        return out
+
+    def kind(self, token: str | None) -> str:
+        """The character of a token."""
+        if token is None:
+            raise LexError(token)
+        if token[0] == '"' or token[0] == "'":
+            return self.kinds["str"]
+        if token[:2] == "//" or token[:2] == "/*":
+            return "\n" if "\n" in token else ""
+        m = self.sort(token)
+        # by themselves, only regular expressions and points before brackets aren't known as the tokens they are
+        kind = m.lastgroup if m else "regex" if token[0] == "/" else "skip"
+        if kind == "name" or kind == "word":
+            return self.keywords.get(token, "i")
+        if kind == "mark":
+            return token
+        if kind == "punct":
+            return self.kinds.get(token) or token
+        if kind == "tmpl":
+            return "`"
+        return "" if kind == "space" else self.kinds[kind]
 
     def template(self, text: str) -> None:
         """The parts of a template literal in ${ } have to be expressions."""
@@ -213,10 +287,10 @@ class BracketGrammar:
         char = self.memo.get(whole)
         if char is None:
             kind, body, has = whole[0], self.angles(whole[1:-1]), 0
-            if kind != "{" and len(body) > 100:  # equal elements of a long list, each a literal or a bracket group, count once
+            if len(body) > 100:  # equal elements of a long list, each a literal or a bracket group, count once
                 body = _ALIKE.sub(r"\1", body)
-            for bit, match, after in self.rules[kind]:
-                if has & after == after and match(body):
+            for bit, match, after, foreign in self.rules[kind]:
+                if has & after == after and not foreign(body) and match(body):
                     has |= bit
             char = self.roles[kind].char(has) if has else "\0"
             if len(self.memo) < MEMO_LIMIT:
@@ -235,7 +309,7 @@ class BracketGrammar:
         text = text.removeprefix("﻿")
         try:
             # most texts of another language show it by their first tokens
-            if self.never(self.lex(text, 120)) or self.never(s := self.lex(text)):
+            if any(self.never(self.lex(text, most)) for most in FIRST) or self.never(s := self.lex(text)):
                 return False
             s = self.reduce(self.newlines(s))
         except (LexError, RecursionError):
@@ -395,7 +469,7 @@ P implements
     case = lambda listed: rf"(?:\n*+(?:C{EXPRS}|D):{listed})*"
     rules = {
         "(": {"args": seq(f"&?{EXPR}"), "expr": EXPRS, "params": seq(param), "for": rf"(?:[vç]{seq1(decl)}|{EXPRS})?;(?:{EXPRS})?;(?:{EXPRS})?|[vç]?{bind}[o#]{EXPRS}|{operand}[o#]{EXPRS}"},
-        "[": {"array": rf"(?:,|&?{EXPR}(?:,|\Z))*", "index": EXPRS, "empty": ""},
+        "[": {"array": Series(rf"(?:,|&?{EXPR}(?:,|\Z))*", rf"(?:&?{EXPR})?", ",", True), "index": EXPRS, "empty": ""},
         "{": {"block": LIST, "plain": TOP, "object": seq(prop), "class": rf"\n*+(?:{member}\n*+)*", "switch": case(LIST), "turn": case(TOP), "names": seq(rf"(?:T(?!A))?(?:{W}|\")(?:A(?:{W}|\"))?")},
     }
     if ts:
@@ -513,7 +587,7 @@ g record sealed permits yield when var
     program = rf"(?:{note}Q{I}\.*;)?(?:;|m[M]?{I}\.*;)*(?:;|{MOD}{classes})*"
     priv = "-"
     angle = rf"<(?:[igpk.,?x|‹@{priv}])*>(?![1\"k])"
-    return BracketGrammar(scanner, kinds, keywords, lambda s: s.replace("\n", ""), {"(": P, "[": S, "{": B}, named, rules, program, angle, never=r'\A\n*[^@QmMYDcUg;\n]|i["1]|m[^iMg\n]')
+    return BracketGrammar(scanner, kinds, keywords, lambda s: s.replace("\n", ""), {"(": P, "[": S, "{": B}, named, rules, program, angle, never=r'\A\n*[^@QmMYDcUg;\n]|i["1]|m[^iMg\n]|Q(?:[^ig\n]|\n*[ig][.\n]*[^.;\n])')
 
 
 def _go() -> BracketGrammar:
@@ -521,12 +595,12 @@ def _go() -> BracketGrammar:
     named = Rules()
     scanner = (
         r"(?P<name>[A-Za-z_]\w*)|" + _MARK + r"(?P<nl>\n)|" + _SPACE + "|" + _NOTE + r"|(?P<str>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\[^xuU0-7]|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\[0-7]{3})')"
-        r"|(?P<member>(?<!\.)\.(?!\.)\s*[A-Za-z_ª-퟿]\w*)|(?P<skip>(?<!\.)\.(?=\s*\())|(?P<dot>(?<!\.)\.(?=\s*\"))"
+        r"|(?P<member>(?<!\.)\.(?!\.)\s*[A-Za-z_ª-퟿]\w*)|(?P<assert>(?<!\.)\.\s*\()|(?P<skip>(?<!\.)\.(?=\s*\"))"
         r"|(?P<num>(?:0[xX][\da-fA-F_.]+(?:[pP][+-]?\d+)?|0[bBoO][\d_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)i?(?!\w))"
         r"|(?P<word>[A-Za-z_ª-퟿]\w*)"
         r"|(?P<punct>:=|\.\.\.|<<=|>>=|&\^=|&\^|==|!=|<=|>=|<<|>>|<-|&&|\|\||\+\+|--|[-+*/%&|^]=|[-+*/%&|^!~<>=:,;(){}\[\]])"
     )
-    kinds = {"num": "1", "str": '"', "member": ".", "skip": "", "dot": "i", "nl": "\n", ":=": "≔", "-": "+", "^": "+", "&": "+", "~": "~", "<-": "<", "++": "%", "--": "%", "...": "&", "|": "|"}
+    kinds = {"num": "1", "str": '"', "member": ".", "assert": "(", "skip": "i", "nl": "\n", ":=": "≔", "-": "+", "^": "+", "&": "+", "~": "~", "<-": "<", "++": "%", "--": "%", "...": "&", "|": "|"}
     kinds |= {k: "^" for k in "== != <= >= << >> && || / % &^ < >".split()} | {k: "=" for k in "-= += *= /= %= &= |= ^= <<= >>= &^=".split()}
     keywords = _words("""
 f func
@@ -604,7 +678,7 @@ g go defer
         "{": {"block": LIST, "struct": seq(field, ";"), "interface": seq(rf"(?:i{P['params']}{RES}|{union})", ";"), "literal": seq(rf"(?:{value}:)?{value}"), "switch": rf"(?:(?:C{seq1(rf'(?:{EXPR}|{TY})')}|D):{LIST})*", "select": rf"(?:(?:C{simple}|D):{LIST})*"},
     }
     program = rf";*Qi(?:;+m(?:{spec}|{P['imports']}))*(?:;+(?:{func}|v(?:{var}|{P['vars']})|T(?:{tdecl}|{P['types']})))*;*"
-    return BracketGrammar(scanner, kinds, keywords, newlines, {"(": P, "[": S, "{": B}, named, rules, program, never=r"\A[\n;]*[^Q\n;]")
+    return BracketGrammar(scanner, kinds, keywords, newlines, {"(": P, "[": S, "{": B}, named, rules, program, never=r"\A[\n;]*(?:[^Q\n;]|Q\n*(?:[^i\n]|i[^;\n]))")
 
 
 @lru_cache(maxsize=None)
@@ -612,14 +686,15 @@ def bracket_grammar(language: str) -> BracketGrammar:
     return {"javascript": lambda: _ecma(False), "typescript": lambda: _ecma(True), "java": _java, "go": _go}[language]()
 
 
-def _python(text: str) -> bool:
+def _python(text: str, likely: bool = True) -> bool:
     import _symtable
 
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
-            _symtable.symtable(text, "f", "exec")  # parses without building Python objects for the tree
-            return True
+            if likely:
+                _symtable.symtable(text, "f", "exec")  # parses without building Python objects for the tree
+                return True
         except (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError):
             pass
         try:  # the symbol table also refuses wrong use of names, which is no matter of grammar
@@ -633,9 +708,12 @@ def _refuse(value: str):
     raise ValueError(value)
 
 
+_DECODE = json.JSONDecoder(parse_constant=_refuse).decode
+
+
 def _json(text: str) -> bool:
     try:
-        json.loads(text.removeprefix("﻿"), parse_constant=_refuse)
+        _DECODE(text.removeprefix("﻿"))
         return True
     except (ValueError, RecursionError):
         return False
@@ -686,7 +764,8 @@ def examine(language: str, text: str) -> tuple[bool, list[str]]:
     good: set[str] = set()
     for other in LANGUAGES:
         # plain JavaScript is valid TypeScript: what the one grammar accepts belongs to the other too
-        if (other == "typescript" and "javascript" in good) or parses(other, text):
+        # and what is said to be of another language is hardly Python, so that it is parsed once
+        if (other == "typescript" and "javascript" in good) or (_python(text, False) if other == "python" != language else parses(other, text)):
             good.add(other)
     ranked = rank_languages(text) if len(good) > 1 else good  # nothing to rank in one
     return language in good, [other for other in ranked if other in good]

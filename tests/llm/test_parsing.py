@@ -299,3 +299,50 @@ def test_a_text_is_scanned_once(monkeypatch):
         monkeypatch.setattr(grammar, "scan", counted(grammar.scan))
     assert grammars.examine("typescript", text) == (True, ["typescript"])
     assert len(scanned) == len(set(scanned)) > 500
+
+
+@pytest.mark.parametrize(("language", "text"), [("go", "const a = [1, 2];\n" * 90), ("java", "const a = [1, 2];\n" * 90), ("java", "package main\n\nfunc f() {\n}\n" * 90), ("go", "package a.b;\n\nclass A { int x = 1; }\n" * 90), ("javascript", "def f(a):\n    return a\n" * 90)])
+def test_foreign_text_is_refused_by_its_first_tokens(language, text, monkeypatch):
+    grammar, scanned = grammars.bracket_grammar(language), []
+    scan = grammar.scan
+    monkeypatch.setattr(grammar, "scan", lambda given: (scanned.append(m) or m for m in scan(given)))
+    assert not grammars.parses(language, text)
+    assert len(scanned) < 20
+
+
+@pytest.mark.parametrize(
+    ("language", "before", "after"),
+    [("java", "class A { Object[] x = {", "}; }"), ("go", "package a\n\nvar x = []any{{1}, ", "}\n"), ("javascript", "const x = [", "]"), ("javascript", "f(", ");"), ("typescript", "f(", ");")],
+)
+def test_items_of_a_long_list_are_matched_by_themselves(language, before, after, monkeypatch):
+    longest = []
+    compile_ = grammars.Rules.compile
+
+    def recorded(self, pattern):
+        match = compile_(self, pattern)
+        return lambda s: match(s) and (longest.append(len(s)) or True)
+
+    monkeypatch.setattr(grammars.Rules, "compile", recorded)
+    grammar = grammars.bracket_grammar.__wrapped__(language)
+    items = ["1", '"a"', "b", "-2", "c + 3", "f(4)"] * 80
+    assert grammar.accepts(before + ", ".join(items) + after)
+    assert 0 < max(longest) < 60
+    assert grammar.accepts(before + ", ".join(items) + "," + after) and grammar.accepts(before + after)
+    for bad in ("1 2", "+", "a b c"):
+        for place in (0, 240, 480):
+            assert not grammar.accepts(before + ", ".join([*items[:place], bad, *items[place:]]) + after), (bad, place)
+    assert grammar.accepts(before + "1,, 2" + after) == (before == "const x = [")
+
+
+def test_what_a_role_can_not_have_is_not_in_its_pattern():
+    rules = grammars.Rules()
+    rules["a"] = "x[b-d]"
+    rules["e"] = f"{rules['a']};?"
+    assert rules.mentioned(rules["a"]) == set("x[b-d]c") and rules.mentioned(f"{rules['e']}R") == set("x[b-d]c;?R")
+    for language in ("javascript", "typescript", "java", "go"):
+        assert grammars.parses(language, {"java": "class A { class B { int x; } }", "go": "package a\n\ntype T struct {\n\tA int\n\tB int\n}\n"}.get(language, "class A { x; return() { return 1; } }"))
+
+
+def test_type_assertion_on_the_next_line():
+    assert grammars.parses("go", "package a\n\nfunc f() {\n\tx := y.\n\t\t(T)\n\tz := y.(T)\n}\n")
+    assert grammars.parses("go", 'package a\n\nimport . "fmt"\nimport ."os"\n')
